@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomstone.llm import chat, mixing, secrets
+from loomstone.llm import chat, mixing, pii, quality, secrets, tokens
 
-MODULES = (secrets, mixing, chat)
+MODULES = (secrets, mixing, pii, quality, tokens, chat)
 
 
 def queries() -> dict:
