@@ -187,3 +187,76 @@ def pieces(sizes: list[int], budget: int) -> list[tuple[int, int]]:
     if sizes:
         out.append((begin, len(sizes)))
     return out
+
+
+# ---------------------------------------------------------------------------------------------------------------
+# Narrowing a wide table before a join
+
+#: Buckets of ``narrowed``: what it broadcasts has so many numbers at most, whatever the size of the tables.
+BUCKETS = 1 << 17
+
+
+def _bucket(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(11)), F.lit(BUCKETS))
+
+
+def narrowed(df: DataFrame, key: str, keys: DataFrame, inside: bool = True) -> DataFrame:
+    """Rows of ``df`` whose key may be in ``keys`` (or, with ``inside`` false, the rows whose key is surely not).
+
+    Decided by hash buckets, of which at most ``BUCKETS`` are broadcast. The two halves make up ``df``; a null key
+    is surely not among the keys. It saves moving wide rows that a join would drop.
+    """
+    hit = F.broadcast(keys.where(F.col(key).isNotNull()).select(_bucket(F.col(key)).alias("_bucket")).distinct())
+    tagged = df.withColumn("_bucket", F.when(F.col(key).isNotNull(), _bucket(F.col(key))))
+    return tagged.join(hit, "_bucket", "left_semi" if inside else "left_anti").drop("_bucket")
+
+
+def groups_of(batches, key: int = 0):
+    """Arrow tables of one key value each, from batches sorted by their column ``key``."""
+    import pyarrow as pa
+
+    held: list = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = batch.column(key).to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero(values[1:] != values[:-1]) + 1
+        begin = 0
+        if held and held[-1].column(key)[0].as_py() != values[0]:
+            yield pa.Table.from_batches(held)
+            held = []
+        for cut in cuts:
+            held.append(batch.slice(begin, cut - begin))
+            yield pa.Table.from_batches(held)
+            held, begin = [], cut
+        held.append(batch.slice(begin))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+class Forest:
+    """Disjoint sets over 0..n-1."""
+
+    def __init__(self, n: int):
+        self.parent = np.arange(n)
+
+    def find(self, i: int) -> int:
+        p = self.parent
+        while p[i] != i:
+            p[i] = p[p[i]]
+            i = p[i]
+        return int(i)
+
+    def union(self, i: int, j: int) -> None:
+        a, b = self.find(i), self.find(j)
+        if a != b:
+            self.parent[max(a, b)] = min(a, b)
+
+    def roots(self) -> np.ndarray:
+        p = self.parent
+        while True:
+            q = p[p]
+            if np.array_equal(q, p):
+                self.parent = q
+                return q
+            p = q
