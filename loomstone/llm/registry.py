@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomstone.llm import chat, mixing, nearsets, pii, quality, secrets, tokens
+from loomstone.llm import chat, mixing, nearsets, pii, quality, secrets, tokens, vectors
 
-MODULES = (secrets, mixing, nearsets, pii, quality, tokens, chat)
+MODULES = (secrets, mixing, nearsets, pii, quality, tokens, vectors, chat)
 
 
 def queries() -> dict:
