@@ -88,9 +88,9 @@ def solve_multipliers(counted: DataFrame, targets: DataFrame, most: float) -> Da
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, most: int = 3) -> DataFrame:
-    """One row per input row: ``id, source, size, source_size, target, rate, copies``.
+    """One row per input row: ``id, k, source, size, source_size, target, rate, copies``.
 
-    ``size`` is the number of words (null text: 0). Defined cases: a null source is one source, ordered last; texts
+    ``k`` is a hash of id and text. ``size`` is the number of words (null text: 0). Defined cases: a null source is one source, ordered last; texts
     without words have size 0 and are kept once; ties of size are ordered by a hash of the id and then the id, so
     that repeated rows are interchangeable; an empty table gives an empty result; other columns are not looked at.
     A source's words come to its target but for less than about its largest document.
@@ -99,7 +99,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of copies with most of the rows is sorted in many tasks.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text")).select("id", "source", size.alias("size"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text")).select("id", F.xxhash64("id", "text").alias("k"), "source", size.alias("size"))
     rows = stored(rows, "mix-rows")
     counted = stored(rows.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-counts")
     sizes = counted.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).cast("long").alias("source_size"))
@@ -116,7 +116,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = groups.withColumn("begin", F.when(F.col("size") == 0, F.lit(0.0)).otherwise(before)).withColumn("runs", F.ceil(F.col("n") / RUN).cast("long"))
     r, g = rows.alias("r"), groups.alias("g")
     dealt = r.join(g, F.col("r.source").eqNullSafe(F.col("g.source")) & (F.col("r.size") == F.col("g.size"))).select(
-        "r.id", "r.source", "r.size", "source_size", "target", "rate", "begin", F.xxhash64("r.id").alias("h"), F.pmod(F.xxhash64("r.id", F.lit(7)), F.col("runs")).alias("run"), "runs",
+        "r.id", "r.k", "r.source", "r.size", "source_size", "target", "rate", "begin", F.xxhash64("r.id").alias("h"), F.pmod(F.xxhash64("r.id", F.lit(7)), F.col("runs")).alias("run"), "runs",
     )
     counts = dealt.where("runs > 1").groupBy("source", "size", "run").agg(F.count("*").alias("m"))
     offsets = counts.select("source", "size", "run", (F.sum("m").over(W.partitionBy("source", "size").orderBy("run")) - F.col("m")).alias("skip"))
@@ -126,7 +126,18 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # A millionth keeps whole sums of rates off the edge at which they would be rounded down.
     edge = lambda i: F.floor(F.col("d.begin") + i * F.col("d.rate") + 1e-6)
     copies = F.least((edge(k) - edge(k - 1)).cast("int"), F.lit(int(most)))
-    return placed.select("d.id", "d.source", "d.size", "d.source_size", "d.target", "d.rate", copies.alias("copies"))
+    return placed.select("d.id", "d.k", "d.source", "d.size", "d.source_size", "d.target", "d.rate", copies.alias("copies"))
+
+
+def deal_copies(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` as often as the mix takes them, numbered by ``copy_no``; texts without words are not taken.
+
+    Rows that repeat id and text stand for each other: together they get the sum of their copies.
+    """
+    taken = mixed.where("size > 0").groupBy("k").agg(F.sum("copies").cast("int").alias("_copies"), F.count("*").alias("_rows")).where("_copies > 0").withColumnRenamed("k", "_k")
+    joined = docs.withColumn("_k", F.xxhash64(id_col, text_col)).join(taken, "_k")
+    once = joined.where("_rows = 1").unionByName(joined.where("_rows > 1").dropDuplicates(["_k"]))
+    return once.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("copy_no"))
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
