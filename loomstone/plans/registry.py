@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from loomstone.plans import codec, metrics, packing, relational, results, schedule, sources, streams, text, vectors
 
-from pyspark.sql import DataFrame, SparkSession
+MODULES = (text, metrics, packing, codec, relational, schedule, results, sources, vectors, streams)
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES = {name: f for m in MODULES for name, f in m.plans.queries.items()}
+ORACLES = {name: sql for m in MODULES for name, sql in m.plans.oracles.items()}
 FLAGSHIP = "language_token_entropy"
