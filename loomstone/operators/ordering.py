@@ -11,7 +11,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomstone.functions.formulas import cosine
-from loomstone.operators.packing import RANGES
 
 
 def ranks(df: DataFrame, order: list[str], name: str) -> DataFrame:
@@ -145,6 +144,3 @@ def greedy_order(df: DataFrame, group: str, key: str, vector: str, starts: int =
         return pd.DataFrame({group: pdf[group].iloc[best].to_numpy(), key: pdf[key].iloc[best].to_numpy(), "place": np.arange(len(best))})
 
     return df.select(group, key, vector).groupBy(group).applyInPandas(order, f"`{group}` {types[group]}, `{key}` {types[key]}, place long")
-
-
-assert RANGES > 64
