@@ -43,6 +43,7 @@ def discard(*tables: DataFrame) -> None:
     for df in tables:
         path = getattr(df, "_stored_at", None)
         if path:
+            df._stored_at = None
             jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
             target = jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
@@ -92,7 +93,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
             break
         before = state
     roots = current.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-    return current.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
+    out = current.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
+    out._stored_at = current._stored_at
+    return out
 
 
 # ---------------------------------------------------------------------------------------------------------------
