@@ -196,7 +196,7 @@ def pieces(sizes: list[int], budget: int) -> list[tuple[int, int]]:
 # Narrowing a wide table before a join
 
 #: Buckets of ``narrowed``: what it broadcasts has so many numbers at most, whatever the size of the tables.
-BUCKETS = 1 << 17
+BUCKETS = 1 << 20
 
 
 def _bucket(key: Column) -> Column:
