@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomstone.llm.common import WORD, discard, stored
+from loomstone.llm.common import WORD, discard, narrowed, stored
 from loomstone.session import table
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -135,9 +135,16 @@ def deal_copies(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_
     Rows that repeat id and text stand for each other: together they get the sum of their copies.
     """
     taken = mixed.where("size > 0").groupBy("k").agg(F.sum("copies").cast("int").alias("_copies"), F.count("*").alias("_rows")).where("_copies > 0").withColumnRenamed("k", "_k")
-    joined = docs.withColumn("_k", F.xxhash64(id_col, text_col)).join(taken, "_k")
-    once = joined.where("_rows = 1").unionByName(joined.where("_rows > 1").dropDuplicates(["_k"]))
-    return once.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("copy_no"))
+    taken = stored(taken, "mix-taken")
+    repeated = taken.where("_rows > 1").select("_k")
+    keyed = docs.withColumn("_k", F.xxhash64(id_col, text_col))
+    if repeated.isEmpty():
+        dealt = keyed.join(taken, "_k")
+    else:
+        held = narrowed(keyed, "_k", repeated).join(taken, "_k")
+        once = narrowed(keyed, "_k", repeated, inside=False).join(taken, "_k").unionByName(held.where("_rows = 1"))
+        dealt = once.unionByName(held.where("_rows > 1").dropDuplicates(["_k"]))
+    return dealt.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("copy_no"))
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -199,12 +199,13 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     payload = dealt.join(classes, "k").select("g", "side", "at", "k", "m", "v", "keys", F.size("v").alias("dim")).repartition(n, "g").sortWithinPartitions("g")
     met = stored(payload.mapInArrow(_compare(least), "k long, links long, root long"), "vector-links")
 
-    linked = connected_components(met.select(F.col("k").alias("src"), F.col("root").alias("dst"))).withColumnRenamed("id", "k").withColumnRenamed("component", "root")
+    groups = connected_components(met.select(F.col("k").alias("src"), F.col("root").alias("dst")))
+    linked = groups.withColumnRenamed("id", "k").withColumnRenamed("component", "root")
     counts = met.groupBy("k").agg(F.sum("links").alias("links"))
     by_class = classes.select("k", "m").join(counts, "k", "left").join(linked, "k", "left").select("k", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("root", "k").alias("root"))
     placed = stored(named.join(by_class, "k", "left"), "vector-placed")
     tops = placed.where("root is not null").groupBy("root").agg(F.min("id").alias("component"))
-    discard(dealt, met)
+    discard(named, classes, dealt, met, groups)
     return placed.where("root is not null").join(tops, "root").select("id", "n_links", "component").unionByName(placed.where("root is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component")))
 
 
