@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -20,7 +22,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share. Where the session names none (tests), a local one is set."""
     path = spark.conf.get(_CHECKPOINT, None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="loomstone-")
+        own = tempfile.mkdtemp(prefix="loomstone-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        path = f"file://{own}"
         spark.conf.set(_CHECKPOINT, path)
     return path.rstrip("/")
 
@@ -209,9 +213,9 @@ def narrowed(df: DataFrame, key: str, keys: DataFrame, inside: bool = True) -> D
     Decided by hash buckets, of which at most ``BUCKETS`` are broadcast. The two halves make up ``df``; a null key
     is surely not among the keys. It saves moving wide rows that a join would drop.
     """
-    hit = F.broadcast(keys.where(F.col(key).isNotNull()).select(_bucket(F.col(key)).alias("_bucket")).distinct())
-    tagged = df.withColumn("_bucket", F.when(F.col(key).isNotNull(), _bucket(F.col(key))))
-    return tagged.join(hit, "_bucket", "left_semi" if inside else "left_anti").drop("_bucket")
+    hit = F.broadcast(keys.where(F.col(key).isNotNull()).select(_bucket(F.col(key)).alias("__ls_bucket")).distinct())
+    tagged = df.withColumn("__ls_bucket", F.when(F.col(key).isNotNull(), _bucket(F.col(key))))
+    return tagged.join(hit, "__ls_bucket", "left_semi" if inside else "left_anti").drop("__ls_bucket")
 
 
 def groups_of(batches, key: int = 0):

@@ -295,9 +295,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` in which no benchmark item is found. Only rows that may go are moved."""
-    hit = stored(benchmark_regions(docs, benchmark, id_col, text_col).select(F.col("k").alias("_k")).distinct(), "leaking")
-    keyed = docs.withColumn("_k", F.xxhash64(id_col, text_col))
-    return narrowed(keyed, "_k", hit, inside=False).unionByName(narrowed(keyed, "_k", hit).join(hit, "_k", "left_anti").select(*keyed.columns)).drop("_k")
+    hit = stored(benchmark_regions(docs, benchmark, id_col, text_col).select(F.col("k").alias("__ls_k")).distinct(), "leaking")
+    keyed = docs.withColumn("__ls_k", F.xxhash64(id_col, text_col))
+    return narrowed(keyed, "__ls_k", hit, inside=False).unionByName(narrowed(keyed, "__ls_k", hit).join(hit, "__ls_k", "left_anti").select(*keyed.columns)).drop("__ls_k")
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,7 +49,7 @@ def solve_multipliers(counted: DataFrame, targets: DataFrame, most: float) -> Da
     ``counted`` holds ``source, size, n``. A source whose target is its upper limit has no finite multiplier; its
     ``lam`` is null and its rate is ``most``. A source without words needs none; its ``lam`` is 0.
     """
-    totals = counted.groupBy("source").agg((F.sum(F.col("size") * F.col("size") * F.col("n")) / F.sum(F.col("size") * F.col("n"))).alias("mean"), F.max("size").alias("largest"))
+    totals = counted.groupBy("source").agg(F.try_divide(F.sum(F.col("size") * F.col("size") * F.col("n")), F.sum(F.col("size") * F.col("n"))).alias("mean"))
     state = targets.join(totals, targets["source"].eqNullSafe(totals["source"])).select(
         targets["source"], "source_size", "target", F.coalesce("mean", F.lit(1.0)).alias("mean"),
         F.when(F.col("target") >= F.col("source_size") * F.lit(float(most)) * (1 - 1e-12), F.when(F.col("source_size") == 0, 0.0)).when(F.col("source_size") == 0, 0.0).otherwise(F.log(F.greatest(F.col("target") / F.col("source_size"), F.lit(1e-9)))).alias("lam"),
@@ -134,17 +134,17 @@ def deal_copies(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_
 
     Rows that repeat id and text stand for each other: together they get the sum of their copies.
     """
-    taken = mixed.where("size > 0").groupBy("k").agg(F.sum("copies").cast("int").alias("_copies"), F.count("*").alias("_rows")).where("_copies > 0").withColumnRenamed("k", "_k")
+    taken = mixed.where("size > 0").groupBy("k").agg(F.sum("copies").cast("int").alias("__ls_copies"), F.count("*").alias("__ls_rows")).where("__ls_copies > 0").withColumnRenamed("k", "__ls_k")
     taken = stored(taken, "mix-taken")
-    repeated = taken.where("_rows > 1").select("_k")
-    keyed = docs.withColumn("_k", F.xxhash64(id_col, text_col))
+    repeated = taken.where("__ls_rows > 1").select("__ls_k")
+    keyed = docs.withColumn("__ls_k", F.xxhash64(id_col, text_col))
     if repeated.isEmpty():
-        dealt = keyed.join(taken, "_k")
+        dealt = keyed.join(taken, "__ls_k")
     else:
-        held = narrowed(keyed, "_k", repeated).join(taken, "_k")
-        once = narrowed(keyed, "_k", repeated, inside=False).join(taken, "_k").unionByName(held.where("_rows = 1"))
-        dealt = once.unionByName(held.where("_rows > 1").dropDuplicates(["_k"]))
-    return dealt.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("copy_no"))
+        held = narrowed(keyed, "__ls_k", repeated).join(taken, "__ls_k")
+        once = narrowed(keyed, "__ls_k", repeated, inside=False).join(taken, "__ls_k").unionByName(held.where("__ls_rows = 1"))
+        dealt = once.unionByName(held.where("__ls_rows > 1").dropDuplicates(["__ls_k"]))
+    return dealt.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__ls_copies"))).alias("copy_no"))
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
