@@ -135,14 +135,15 @@ def deal_copies(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_
     Rows that repeat id and text stand for each other: together they get the sum of their copies.
     """
     taken = mixed.where("size > 0").groupBy("k").agg(F.sum("copies").cast("int").alias("__ls_copies"), F.count("*").alias("__ls_rows")).where("__ls_copies > 0").withColumnRenamed("k", "__ls_k")
+    # One row per document taken: never broadcast, however small it may be here.
     taken = stored(taken, "mix-taken")
     repeated = taken.where("__ls_rows > 1").select("__ls_k")
     keyed = docs.withColumn("__ls_k", F.xxhash64(id_col, text_col))
     if repeated.isEmpty():
-        dealt = keyed.join(taken, "__ls_k")
+        dealt = keyed.join(taken.hint("merge"), "__ls_k")
     else:
-        held = narrowed(keyed, "__ls_k", repeated).join(taken, "__ls_k")
-        once = narrowed(keyed, "__ls_k", repeated, inside=False).join(taken, "__ls_k").unionByName(held.where("__ls_rows = 1"))
+        held = narrowed(keyed, "__ls_k", repeated).join(taken.hint("merge"), "__ls_k")
+        once = narrowed(keyed, "__ls_k", repeated, inside=False).join(taken.hint("merge"), "__ls_k").unionByName(held.where("__ls_rows = 1"))
         dealt = once.unionByName(held.where("__ls_rows > 1").dropDuplicates(["__ls_k"]))
     return dealt.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__ls_copies"))).alias("copy_no"))
 
