@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -19,9 +20,12 @@ _CHECKPOINT = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. Where the session names none (tests), a local one is set."""
+    """The folder that all executors share. Where a local session names none (tests), a local one is set; a cluster
+    must name one, since its executors would write to folders that the others do not see."""
     path = spark.conf.get(_CHECKPOINT, None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"{_CHECKPOINT} must name a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="loomstone-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         path = f"file://{own}"
@@ -29,6 +33,27 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Tables that results may still read; they go when the driver ends.
+_LEFT: set[str] = set()
+
+
+def _delete(path: str) -> None:
+    from pyspark import SparkContext
+
+    sc = SparkContext._active_spark_context
+    if sc is not None and sc._jvm is not None:
+        target = sc._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+    _LEFT.discard(path)
+
+
+@atexit.register
+def _clear() -> None:
+    for path in list(_LEFT):
+        with contextlib.suppress(Exception):  # the session may be gone
+            _delete(path)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back.
 
@@ -36,6 +61,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _LEFT.add(path)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
@@ -48,9 +74,12 @@ def discard(*tables: DataFrame) -> None:
         path = getattr(df, "_stored_at", None)
         if path:
             df._stored_at = None
-            jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished jobs now: it does so when the driver's garbage is collected."""
+    spark.sparkContext._jvm.System.gc()
 
 
 def partitions(spark: SparkSession) -> int:
@@ -62,6 +91,31 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE, -1), lambda w: w != "")
 
 
+def running_sums(sizes: Column, block: int = 128) -> Column:
+    """Sums of an array of whole numbers up to and with each item, as an array of longs (empty: empty).
+
+    In two levels, blocks and the sums of blocks, so that an array of n items takes about ``block`` times n steps.
+    """
+    zero = lambda: F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<long>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        at = acc["at"] + x
+        return F.struct(at.alias("at"), F.concat(acc["out"], F.array(at)).alias("out"))
+
+    def within(s: Column) -> Column:
+        n = F.size(s)
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(n, F.lit(1)) - 1) / block).cast("int")), lambda b: F.slice(s, b * block + 1, F.lit(block)))
+        inner = F.transform(cut, lambda part: F.aggregate(part, zero(), step)["out"])
+        return F.when(n > 0, F.transform(F.array(inner), across)[0]).otherwise(F.array().cast("array<long>"))
+
+    def across(rows: Column) -> Column:
+        upto = F.aggregate(F.transform(rows, lambda r: F.element_at(r, -1)), zero(), step)["out"]
+        return F.flatten(F.zip_with(rows, upto, lambda r, u: F.transform(r, lambda x: x + u - F.element_at(r, -1))))
+
+    # Arrays of one, so that what is named is computed once.
+    return F.transform(F.array(sizes), within)[0]
+
+
 def _min_neighbour(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("u").agg(F.min("v").alias("m"))
 
