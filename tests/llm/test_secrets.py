@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 
 from loomstone.llm import secrets as S
 
@@ -45,3 +46,42 @@ def test_repeated_rows_and_empty_tables(spark):
     got = S.scan_secrets(spark.createDataFrame([row, row], schema)).collect()
     assert [(r.id, len(r.base), r.n_live) for r in got] == [(None, 1, 1)] * 2
     assert S.scan_secrets(spark.createDataFrame([], schema)).collect() == []
+
+
+def test_repositories_alone_change_the_verdict(spark):
+    """The same owner and the same number of owners: only the number of repositories differs."""
+    often, seldom = "Qx71" * 6, "Wy82" * 6
+    rows = [(i, f"use {often} here" + (f" not {seldom}" if i < S.REPOSITORIES - 1 else ""), "one") for i in range(S.REPOSITORIES)]
+    got = {r.id: r for r in S.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert [(s.start, s.end) for s in got[0].spans] == [(33, 57)] and got[9].spans == []
+    assert [(v.live, v.owners, v.repositories) for v in got[0].verdicts] == [(False, 1, S.REPOSITORIES), (True, 1, S.REPOSITORIES - 1)]
+
+
+def test_planted_shared_and_owned_values(spark):
+    """Example keys in many documents and owners, live ones in one or two: all told apart, base spans always kept."""
+    rows, live = [], set()
+    for i in range(120):
+        text, source = f"token=own{i:05d}x and Aa{i:04d}Zz" + "q9Q" * 6 + " api_key: example1234 with Exa9mple" + "T0ken" * 4, f"s{i % 6}"
+        rows.append((i, text, source))
+        live.add(i)
+    got = {r.id: r for r in S.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    for r in got.values():
+        assert len(r.base) == 2 and r.n_live == 2 and r.n_copied == 2 and sum(s.ord == 3 for s in r.spans) == 1
+
+
+def test_very_long_text(spark):
+    text = "password=hunter22 " * 20_000 + "deadbeef" * 4 + " Zx81Zx81Zx81Zx81Zx81Zx81 " * 5000
+    begun = time.perf_counter()
+    got = S.scan_secrets(spark.createDataFrame([(1, text, "s"), (2, "a" * 1_000_000, "s")], "doc_id long, text string, source string")).collect()
+    one = next(r for r in got if r.id == 1)
+    assert time.perf_counter() - begun < 120 and [(s.start, s.ord, s.end) for s in one.base] == _spans(text) and one.n_live == 25_001
+
+
+def _spans(text):
+    return [(s, k, e) for s, k, e in sorted(_base(text), key=lambda x: (x[1], x[0]))]
+
+
+def test_tokens_that_touch_base_spans_are_none(spark):
+    text = "key Zx81Zx81Zx81Zx81deadbeefdeadbeefdeadbeef0 then token=Zx81Zx81Zx81Zx81Zx81Zx81 then Zx81Zx81Zx81Zx81Zx81Zx81"
+    got = S.scan_secrets(spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string")).collect()[0]
+    assert [(s.start, s.end) for s in got.spans if s.ord == 3] == [(len(text) - 24, len(text))]
