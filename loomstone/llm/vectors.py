@@ -7,39 +7,50 @@ in which it meets, so links are counted once without pairs being written out.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomstone.llm.common import Forest, connected_components, discard, mix, partitions, stored
 from loomstone.session import table
 
-#: Projections of a bucket, tables, and the width of a quantisation step. A pair at cosine 0.98 is 0.2 apart: it
-#: shares a step with probability 0.900, a bucket with 0.900 ** 12 = 0.283, and some table's bucket with 0.9999.
-PROJECTIONS, TABLES, STEP = 12, 28, 1.6
+#: The width of a quantisation step. A pair at cosine 0.98 is 0.2 apart and shares a step with probability 0.900; a
+#: pair at right angles does so with probability 0.409.
+STEP, SHARED, FAR = 1.6, 0.900, 0.409
+#: Share of pairs at the threshold that may meet in no table.
+MISSED = 1e-4
 #: Rows of a bucket that are compared in one task; a larger bucket is compared block by block.
 BLOCK = 2048
 
 _U = np.uint64
 
 
-def _directions(dim: int) -> tuple[np.ndarray, np.ndarray]:
+def hash_choice(n: int) -> tuple[int, int]:
+    """Projections of a bucket and tables for labels of ``n`` vectors at most: so many projections that about one pair
+    in ``n`` at right angles shares a bucket, so many tables that a pair at the threshold is missed with ``MISSED``."""
+    projections = min(48, max(6, math.ceil(math.log(max(n, 2)) / -math.log(FAR))))
+    return projections, math.ceil(math.log(MISSED) / math.log1p(-(SHARED**projections)))
+
+
+def _directions(dim: int, count: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng([dim, 20251])
-    return rng.standard_normal((dim, TABLES * PROJECTIONS)), rng.uniform(0, STEP, TABLES * PROJECTIONS)
+    return rng.standard_normal((count, dim)).T, np.random.default_rng([dim, 20252]).uniform(0, STEP, count)
 
 
-def bucket_keys(x: np.ndarray, salt: np.ndarray) -> np.ndarray:
+def bucket_keys(x: np.ndarray, salt: np.ndarray, projections: int, tables: int) -> np.ndarray:
     """``[row, table]`` bucket keys of the rows of ``x``; ``salt`` tells labels apart."""
-    a, b = _directions(x.shape[1])
+    a, b = _directions(x.shape[1], projections * tables)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
-    steps = np.floor((unit @ a + b) / STEP).astype(np.int64).view(_U).reshape(len(x), TABLES, PROJECTIONS)
-    key = mix(salt.astype(np.int64).view(_U) + _U(x.shape[1]))[:, None] ^ mix(np.arange(1, TABLES + 1, dtype=_U))[None, :]
+    steps = np.floor((unit @ a + b) / STEP).astype(np.int64).view(_U).reshape(len(x), tables, projections)
+    key = mix(salt.astype(np.int64).view(_U) + _U(x.shape[1]))[:, None] ^ mix(np.arange(1, tables + 1, dtype=_U))[None, :]
     with np.errstate(over="ignore"):
-        for k in range(PROJECTIONS):
+        for k in range(projections):
             key = mix(key * _U(0x9FB21C651E98DF25) + steps[:, :, k])
     return key.view(np.int64)
 
@@ -79,7 +90,7 @@ class _Tally:
                 self.forest.union(i, j)
 
 
-def _compare(least: float):
+def _compare(least: float, tables: int):
     schema = pa.schema([("k", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
     def group(rows: pa.Table) -> pa.RecordBatch | None:
@@ -98,7 +109,7 @@ def _compare(least: float):
         return _report(tally)
 
     def _keys(column: pa.ChunkedArray) -> np.ndarray:
-        return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, TABLES)
+        return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, tables)
 
     def _report(tally: _Tally) -> pa.RecordBatch | None:
         roots, hit = tally.forest.roots(), tally.links > 0
@@ -117,9 +128,9 @@ def _compare(least: float):
             if not len(g):
                 continue
             a, b = g * size + a, g * size + b
-            ids, weight, keys, tables = part.column(3).to_numpy(), part.column(4).to_numpy(), _keys(part.column(6)), part.column(2).to_numpy()
+            ids, weight, keys, own = part.column(3).to_numpy(), part.column(4).to_numpy(), _keys(part.column(6)), part.column(2).to_numpy()
             same = keys[a] == keys[b]
-            fresh = same.argmax(axis=1) == tables[a]
+            fresh = same.argmax(axis=1) == own[a]
             a, b = a[fresh], b[fresh]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((ids[a], ids[b]))), pa.array(np.concatenate((weight[b], weight[a]))), pa.array(np.concatenate((ids[a], ids[a])))], schema=schema)
 
@@ -167,25 +178,29 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     linked with each other; an empty table gives an empty result; other columns are not looked at.
     """
     most = block or BLOCK
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).alias("label"))
+    # Floats stay floats where they are moved; they are compared in double precision.
+    kind = "array<float>" if isinstance(vectors.schema[vector_col].dataType.elementType, T.FloatType) else "array<double>"
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast(kind).alias("v"), F.col(label_col).alias("label"))
     rows = rows.withColumn("k", F.when(_usable(F.col("v"), F.col("label")), F.xxhash64("label", "v")))
     named = stored(rows.select("id", "k"), "vector-names")
     classes = rows.where("k is not null").groupBy("k").agg(F.count("*").alias("m"), F.first("v").alias("v"), F.first(F.xxhash64("label")).alias("salt"))
+    widest = vectors.where(F.col(label_col).isNotNull()).groupBy(label_col).agg(F.count("*").alias("n")).agg(F.max("n")).head()[0] or 0
+    projections, tables = hash_choice(widest)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(2)
             sizes = np.diff(lists.offsets.to_numpy())
-            keys = np.zeros((batch.num_rows, TABLES), np.int64)
+            keys = np.zeros((batch.num_rows, tables), np.int64)
             for dim in np.unique(sizes):
                 which = np.flatnonzero(sizes == dim)
-                x = lists.take(pa.array(which)).flatten().to_numpy(zero_copy_only=False).reshape(len(which), -1)
+                x = lists.take(pa.array(which)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(which), -1)
                 for begin in range(0, len(which), 4096):
-                    keys[which[begin : begin + 4096]] = bucket_keys(x[begin : begin + 4096], batch.column(3).to_numpy()[which[begin : begin + 4096]])
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * TABLES), pa.array(keys.ravel()))
+                    keys[which[begin : begin + 4096]] = bucket_keys(x[begin : begin + 4096], batch.column(3).to_numpy()[which[begin : begin + 4096]], projections, tables)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * tables), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists, flat], names=["k", "m", "v", "keys"])
 
-    classes = stored(classes.mapInArrow(hashed, "k long, m long, v array<double>, keys array<long>"), "vector-classes")
+    classes = stored(classes.mapInArrow(hashed, f"k long, m long, v {kind}, keys array<long>"), "vector-classes")
     places = classes.select("k", F.posexplode("keys").alias("at", "bucket"))
     shared = places.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     dealt = places.join(shared, "bucket").withColumn("blocks", F.ceil(F.col("size") / most).cast("int"))
@@ -197,7 +212,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     dealt = stored(dealt, "vector-buckets")
     n = partitions(vectors.sparkSession)
     payload = dealt.join(classes, "k").select("g", "side", "at", "k", "m", "v", "keys", F.size("v").alias("dim")).repartition(n, "g").sortWithinPartitions("g")
-    met = stored(payload.mapInArrow(_compare(least), "k long, links long, root long"), "vector-links")
+    met = stored(payload.mapInArrow(_compare(least, tables), "k long, links long, root long"), "vector-links")
 
     groups = connected_components(met.select(F.col("k").alias("src"), F.col("root").alias("dst")))
     linked = groups.withColumnRenamed("id", "k").withColumnRenamed("component", "root")

@@ -62,7 +62,7 @@ def test_chance_to_meet(spark):
     b /= np.linalg.norm(b, axis=1, keepdims=True)
     near = 0.98 * a + np.sqrt(1 - 0.98**2) * b
     zero = np.zeros(2000, np.int64)
-    assert (V.bucket_keys(a, zero) == V.bucket_keys(near, zero)).any(axis=1).mean() > 0.998
+    assert all((V.bucket_keys(a, zero, *V.hash_choice(n)) == V.bucket_keys(near, zero, *V.hash_choice(n))).any(axis=1).mean() > 0.998 for n in (10, 3000, 10**6))
 
 
 def test_empty_table(spark):
