@@ -8,6 +8,7 @@ diagonals, and bands that reach the bound are verified by banded alignment.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,15 +16,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from loomstone.llm.common import narrowed, pieces, stored
+from loomstone.llm.common import mix, narrowed, pieces, stored
 from loomstone.session import table
 
 Q, SEGMENT, STRIDE = 8, 80, 40
-#: Edits allowed per character of a segment; shorter items cannot be told from ordinary text.
-EDITS, LEAST_CHARS = 0.08, 24
+#: Edits allowed per character of a segment; items of fewer than ``LEAST_CHARS`` characters are found where they stand
+#: unedited as whole words, those of fewer than ``LEAST_EXACT`` not at all: they are single common words.
+EDITS, LEAST_CHARS, LEAST_EXACT = 0.08, 24, 5
 #: Characters of benchmark text that go with the tasks at once; a larger benchmark is handled block by block.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 4_000_000
 TABLE_BITS = 24
 _GAP = 16
 
@@ -94,15 +98,46 @@ class Segments:
     place: np.ndarray
     known: np.ndarray
     classes: list[tuple[int, int]]  # (window, least hits) by length class
+    short: dict[int, dict[int, list[tuple[int, bytes]]]]  # by length and hash: (item, characters) of short items
+
+
+def run_hashes(x: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the runs of ``length`` characters that begin at ``starts``."""
+    h = np.zeros(len(starts), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(length):
+            h = mix(h * np.uint64(0x9FB21C651E98DF25) + x[starts + k].astype(np.uint64) + np.uint64(1))
+    return h
+
+
+def find_short(x: np.ndarray, seg: Segments) -> list[tuple[int, int, int]]:
+    """``(item, start, end)`` of short items that stand in ``x`` (normalised) as whole words."""
+    if not seg.short or not len(x):
+        return []
+    edge = (x == 32) | (x == 0)
+    begins = np.flatnonzero(~edge & np.concatenate(([True], edge[:-1])))
+    ended = np.append(edge, True)
+    out = []
+    for length, known in seg.short.items():
+        at = begins[begins + length <= len(x)]
+        at = at[ended[at + length]]
+        hashes = run_hashes(x, at, length)
+        for k in np.flatnonzero(np.isin(hashes, np.fromiter(known, np.uint64, len(known)))):
+            begin = int(at[k])
+            out += [(item, begin, begin + length) for item, chars in known[int(hashes[k])] if x[begin : begin + length].tobytes() == chars]
+    return out
 
 
 def cut_segments(items: list[tuple[int, str | None]]) -> Segments:
     item, runs = [], []
+    short: dict[int, dict[int, list[tuple[int, bytes]]]] = {}
     for number, text in items:
         x = normalise(_points((text or "").strip()))[0] if text else np.zeros(0, np.uint32)
         x = x[1:] if len(x) and x[0] == 32 else x
         x = x[:-1] if len(x) and x[-1] == 32 else x
         if len(x) < LEAST_CHARS:
+            if len(x) >= LEAST_EXACT:
+                short.setdefault(len(x), {}).setdefault(int(run_hashes(x, np.zeros(1, np.int64), len(x))[0]), []).append((number, x.tobytes()))
             continue
         starts = list(range(0, max(1, len(x) - SEGMENT + 1), STRIDE))
         if len(x) > SEGMENT and starts[-1] + SEGMENT < len(x):
@@ -133,7 +168,7 @@ def cut_segments(items: list[tuple[int, str | None]]) -> Segments:
         which = (length >= low) & (length < high)
         if which.any():
             classes.append((int((length + edits)[which].max()), int(bound[which].min())))
-    return Segments(np.array(item, np.int64), text, length, edits, bound, grams, np.append(first, len(h)), o, p, known, classes)
+    return Segments(np.array(item, np.int64), text, length, edits, bound, grams, np.append(first, len(h)), o, p, known, classes, short)
 
 
 def _aligned(seg: Segments, which: np.ndarray, x: np.ndarray, low: np.ndarray, width: int) -> np.ndarray:
@@ -233,12 +268,12 @@ def scan_batch(texts: list[str | None], seg: Segments) -> list[tuple[int, int, i
             continue
         x, where = normalise(np.concatenate(runs))
         hits: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for s, a, b, _ in find_regions(x, seg):
+        for item, a, b in [(int(seg.item[s]), a, b) for s, a, b, _ in find_regions(x, seg)] + find_short(x, seg):
             middle = int(where[(a + b - 1) // 2])
             row = int(np.searchsorted(starts, middle, side="right")) - 1
             lo, hi = starts[row], starts[row] + len(texts[begin + row] or "")
             span = max(lo, int(where[a])) - lo, min(hi, int(where[b - 1]) + 1) - lo
-            hits.setdefault((begin + row, int(seg.item[s])), []).append(span)
+            hits.setdefault((begin + row, item), []).append(span)
         out += [(row, item, a, b) for (row, item), spans in sorted(hits.items()) for a, b in _merged(spans)]
     return out
 
@@ -254,24 +289,35 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[t
     yield held
 
 
+#: Segments of the blocks that this worker process has cut, so that its tasks share them.
+_CUT: dict[str, Segments] = {}
+
+
 def benchmark_regions(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """``k, item, start, end``: regions of the texts that match benchmark items; ``k`` is a hash of id and text.
 
-    Benchmark text is read on the driver in blocks of ``BLOCK_CHARS`` characters, each of which goes over all texts.
+    Benchmark text is read on the driver in blocks of ``BLOCK_CHARS`` characters (an item may be longer, and is then a
+    block), each of which goes over all texts. Items may have ids of any type.
     """
     rows = docs.select(F.xxhash64(id_col, text_col).alias("k"), F.col(text_col).alias("text")).where("text is not null")
-    schema = "k long, item long, start long, `end` long"
+    item_type = benchmark.schema[item_col].dataType
+    schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("item", item_type), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+    arrow = to_arrow_schema(schema)
     out = None
     for block in _blocks(benchmark, item_col, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            seg = cut_segments(shared.value)
+        name, ids = uuid.uuid4().hex, [i for i, _ in block]
+        shared = docs.sparkSession.sparkContext.broadcast([t for _, t in block])
+
+        def scan(batches: Iterator[pa.RecordBatch], shared=shared, name=name, ids=ids) -> Iterator[pa.RecordBatch]:
+            if name not in _CUT:
+                _CUT.clear()
+                _CUT[name] = cut_segments(list(enumerate(shared.value)))
+            seg = _CUT[name]
             for batch in batches:
                 found = scan_batch(batch.column(1).to_pylist(), seg)
                 keys = batch.column(0).to_pylist()
-                columns = [[keys[f[0]] for f in found], *[[f[c] for f in found] for c in (1, 2, 3)]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["k", "item", "start", "end"])
+                columns = [[keys[f[0]] for f in found], [ids[f[1]] for f in found], *[[f[c] for f in found] for c in (2, 3)]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, arrow.types, strict=True)], schema=arrow)
 
         part = stored(rows.mapInArrow(scan, schema), "leaks")
         out = part if out is None else out.unionByName(part)
@@ -282,7 +328,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """One row per input row: ``id, contaminated, items`` (sorted item ids) and ``spans`` (``item:start:end`` text).
 
     Case, punctuation and white space do not count. Items of fewer than ``LEAST_CHARS`` letters, digits and spaces
-    match nothing. Defined cases: null and empty texts and items match nothing, a null item id is no item, repeated
+    match where they stand as whole words without edits, those of fewer than ``LEAST_EXACT`` nothing. A very long text
+    is read piece by piece. Defined cases: null and empty texts and items match nothing, a null item id is no item, repeated
     rows share their result, items that repeat an id are matched each for itself, empty tables give empty results
     or clean documents, other columns are not looked at.
     """
@@ -290,7 +337,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     spans = F.transform(F.array_sort(F.collect_list(F.struct("start", "item", "end"))), lambda s: F.concat_ws(":", s["item"], s["start"], s["end"]))
     hits = found.groupBy("k").agg(F.array_sort(F.collect_set("item")).alias("items"), F.array_join(spans, ",").alias("spans"))
     names = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("k"))
-    return names.join(hits, "k", "left").select("id", F.col("items").isNotNull().alias("contaminated"), F.coalesce("items", F.array().cast("array<long>")).alias("items"), F.coalesce("spans", F.lit("")).alias("spans"))
+    return names.join(hits, "k", "left").select("id", F.col("items").isNotNull().alias("contaminated"), F.coalesce("items", F.array().cast(hits.schema["items"].dataType)).alias("items"), F.coalesce("spans", F.lit("")).alias("spans"))
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -87,3 +87,32 @@ def test_blocks_of_items(spark, monkeypatch):
     monkeypatch.setattr(D, "BLOCK_CHARS", 300)
     got = _run(spark, [(i, f"{_text(20)} {t} {_text(20)}", "x") for i, t in ITEMS])
     assert all(list(got[i].items) == [i] for i, _ in ITEMS)
+
+
+def test_short_items_match_as_whole_words(spark):
+    items = [("a", "Paris"), ("b", "Who wrote it?"), ("c", "four"), ("d", "Paris"), ("e", "  - - ")]
+    docs = [(1, "in paris, once", "x"), (2, "parisian or comparis", "x"), (3, "Paris", "x"), (4, "tell me: WHO  wrote -- it", "x"), (5, "who wrote items", "x"), (6, "four", "x"), (7, "x" * 300_000 + " paris " + "y" * 300_000, "x")]
+    d = spark.createDataFrame(docs, "doc_id long, text string, item_id string")
+    got = {r.id: (list(r["items"]), r.spans) for r in D.decontaminate(d, spark.createDataFrame(items, "item_id string, text string")).collect()}
+    assert got == {
+        1: (["a", "d"], "a:3:8,d:3:8"), 2: ([], ""), 3: (["a", "d"], "a:0:5,d:0:5"), 4: (["b"], "b:9:25"), 5: ([], ""), 6: ([], ""), 7: (["a", "d"], "a:300001:300006,d:300001:300006"),
+    }
+
+
+def test_short_items_agree_with_a_plain_search():
+    rng = random.Random(3)
+    words = ["ab", "abc", "bca", "cab", "aab", "bbbbb", "abcab"]
+    items = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 4))) for _ in range(60)]
+    seg = D.cut_segments(list(enumerate(items)))
+    for _ in range(50):
+        text = " ".join(rng.choice(words) for _ in range(30))
+        x = D.normalise(D._points(text))[0]
+        want = {(i, k, k + len(t)) for i, t in enumerate(items) if 5 <= len(t) < D.LEAST_CHARS for k in range(len(text)) if f" {text} "[k : k + len(t) + 2] == f" {t} "}
+        assert set(D.find_short(x, seg)) == want
+
+
+def test_an_item_longer_than_a_block(spark, monkeypatch):
+    monkeypatch.setattr(D, "BLOCK_CHARS", 100)
+    long = _text(400)
+    got = _run(spark, [(1, f"{_text(20)} {long[900:1100]} {_text(20)}", "x"), (2, _text(100), "x")], [(7, long), *ITEMS])
+    assert list(got[1]["items"]) == [7] and not got[2].contaminated
