@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomstone.llm.common import stored
+from loomstone.llm.common import partitions, stored
 from loomstone.session import table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -83,25 +84,62 @@ def write_flat(docs: DataFrame, ranks: dict[bytes, int], pattern: str, separator
 
 
 def read_flat(spark: SparkSession, paths: list[str], id_bytes: int = 2, block: int = BLOCK) -> DataFrame:
-    """Blocks of raw flat files in any store Spark reads: ``file, block, payload``.
+    """Blocks of raw flat files: ``file, block, payload``, files numbered in the order given.
 
-    Hadoop's fixed-length reader splits a large file at record edges; the last, shorter block is a file of its own
-    reader, so a file's length must be a multiple of a block or it is read whole as one binary value.
+    Only names and lengths are listed; every block is read by a task of its own at its place in the file, so a file may
+    have any length and no value is larger than a block. Executors open the files through Arrow, which knows local,
+    HDFS, S3 and GCS paths. A last odd byte that makes no id is left out; an empty file has no blocks.
     """
-    out = None
+    step = block * id_bytes
+    listed = None
     for number, path in enumerate(paths):
-        part = spark.read.format("binaryFile").load(path).select(F.lit(number).alias("file"), F.col("content"))
-        step = block * id_bytes
-        part = part.select("file", F.posexplode(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length("content") - 1) / step).cast("int"))), lambda k: F.substring("content", k * step + 1, F.lit(step)))).alias("block", "payload"))
-        out = part if out is None else out.unionByName(part)
-    return out
+        one = spark.read.format("binaryFile").load(path).select(F.lit(number).alias("file"), "path", (F.col("length") - F.col("length") % id_bytes).alias("length"))
+        listed = one if listed is None else listed.unionByName(one)
+    cut = listed.where("length > 0").select("file", "path", "length", F.explode(F.sequence(F.lit(0), F.floor((F.col("length") - 1) / step).cast("int"))).alias("block"))
+    places = cut.select("file", "block", "path", (F.col("block").cast("long") * step).alias("begin"), F.least(F.lit(step).cast("long"), F.col("length") - F.col("block").cast("long") * step).alias("size"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for file, number, path, begin, size in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                system, inner = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+                with system.open_input_file(inner) as f:
+                    payload = f.read_at(size, begin)
+                yield pa.RecordBatch.from_arrays([pa.array([file], pa.int32()), pa.array([number], pa.int32()), pa.array([payload], pa.binary())], names=["file", "block", "payload"])
+
+    return places.repartition(partitions(spark) * 4, "file", "block").mapInArrow(read, "file int, block int, payload binary")
+
+
+#: Blocks of a file whose running sums are made in one place.
+RANGE = 4096
+
+
+def _running(rows: DataFrame, sums: dict[str, str], most: dict[str, str]) -> DataFrame:
+    """``rows`` (with ``file, block``) with the sums and maxima over the blocks before: within ranges of ``RANGE``
+    blocks, and over one row for each range."""
+    rows = rows.withColumn("_range", F.floor(F.col("block") / RANGE))
+    inside = W.partitionBy("file", "_range").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy("file").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    totals = rows.groupBy("file", "_range").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()], *[F.max(c).alias(f"_t_{n}") for n, c in most.items()])
+    totals = totals.select("file", "_range", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums], *[F.max(f"_t_{n}").over(before).alias(f"_b_{n}") for n in most])
+    for n, c in sums.items():
+        rows = rows.withColumn(n, F.coalesce(F.sum(c).over(inside), F.lit(0)))
+    for n, c in most.items():
+        rows = rows.withColumn(n, F.max(c).over(inside))
+    out = rows.join(totals, ["file", "_range"])
+    for n in sums:
+        out = out.withColumn(n, (F.col(n) + F.col(f"_b_{n}")).cast("long"))
+    for n in most:
+        out = out.withColumn(n, F.greatest(n, f"_b_{n}"))
+    return out.drop("_range", *[f"_b_{n}" for n in (*sums, *most)])
 
 
 def scan_separators(blocks: DataFrame, separator: int, id_bytes: int = 2) -> DataFrame:
     """``file, ordinal, n_tokens, closed`` for every document of the flat files.
 
     ``blocks`` has ``file, block, payload``. A document is what stands before a separator; ids after a file's last
-    separator are one more document that is not ``closed``. Two separators in a row enclose an empty document. An
+    separator are one more document that is not ``closed``; it may be of any length. Two separators in a row enclose an empty document. An
     empty payload, a null payload and an empty table hold no documents.
     """
     dtype = {2: "<u2", 4: "<u4"}[id_bytes]
@@ -119,9 +157,8 @@ def scan_separators(blocks: DataFrame, separator: int, id_bytes: int = 2) -> Dat
 
     found = blocks.select(F.col("file").cast("int"), F.col("block").cast("int"), "payload").mapInArrow(search, schema)
     found = stored(found, "separators")
-    before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    summary = found.select("file", "block", "size", "seps", "first", "last").withColumn("begin", F.coalesce(F.sum("size").over(before), F.lit(0)))
-    summary = summary.withColumn("ordinal", F.coalesce(F.sum("seps").over(before), F.lit(0))).withColumn("previous", F.coalesce(F.max(F.col("begin") + F.col("last")).over(before), F.lit(-1).cast("long")))
+    summary = _running(found.select("file", "block", "size", "seps", "first", "last"), {"begin": "size", "ordinal": "seps"}, {})
+    summary = _running(summary.withColumn("_end", F.col("begin") + F.col("last")), {}, {"previous": "_end"}).withColumn("previous", F.coalesce("previous", F.lit(-1).cast("long")))
     summary = summary.select("file", "block", "ordinal", (F.col("begin") + F.col("first") - F.col("previous") - 1).alias("head"), "begin", "size", "seps", "last")
     inner = found.select("file", "block", "gaps").join(summary.where("head is not null").select("file", "block", "ordinal", "head"), ["file", "block"])
     closed = inner.select("file", "ordinal", F.posexplode(F.concat(F.array("head"), "gaps")).alias("k", "n_tokens")).select("file", (F.col("ordinal") + F.col("k")).alias("ordinal"), "n_tokens", F.lit(True).alias("closed"))
@@ -138,8 +175,7 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     flat = stored(write_flat(docs, read_ranks(folder), _piece_pattern(), separator, id_col, text_col, block), "flat")
     counts = scan_separators(flat.select("file", "block", "payload"), separator)
-    before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    begins = flat.select("file", "block", F.size("ids").alias("n")).withColumn("ordinal", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long"))).drop("n")
+    begins = _running(flat.select("file", "block", F.size("ids").alias("n")), {"ordinal": "n"}, {}).drop("n")
     owners = flat.select("file", "block", "ids").join(begins, ["file", "block"]).select("file", "ordinal", F.posexplode("ids").alias("k", "id")).select("file", (F.col("ordinal") + F.col("k")).alias("ordinal"), "id")
     return owners.join(counts, ["file", "ordinal"]).select("id", "n_tokens")
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import tiktoken
 
 from loomstone.llm import tokens as K
@@ -45,3 +46,26 @@ def test_raw_files(spark, tmp_path):
         (tmp_path / name).write_bytes(b"".join(x.to_bytes(2, "little") for x in ids))
     blocks = K.read_flat(spark, [f"{tmp_path}/a.bin", f"{tmp_path}/b.bin"], block=2)
     assert sorted((r.file, r.ordinal, r.n_tokens, r.closed) for r in K.scan_separators(blocks, 9).collect()) == [(0, 0, 2, True), (0, 1, 0, True), (0, 2, 1, False)]
+
+
+def test_ranges_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(K, "RANGE", 3)
+    test_stitching_of_random_blocks(spark)
+
+
+def test_a_large_raw_file_is_read_block_by_block(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    ids = rng.integers(0, 50, 100_003).astype("<u2")
+    (tmp_path / "c.bin").write_bytes(ids.tobytes() + b"\x01")
+    blocks = K.read_flat(spark, [f"{tmp_path}/c.bin"], block=1000)
+    assert sorted((r.block, len(r.payload)) for r in blocks.collect()) == [(b, 2000) for b in range(100)] + [(100, 6)]
+    at = np.flatnonzero(ids == 7)
+    want = np.diff(np.concatenate(([-1], at))) - 1
+    got = sorted((r.ordinal, r.n_tokens) for r in K.scan_separators(blocks, 7).collect() if r.closed)
+    assert got == list(enumerate(want.tolist()))
+
+
+def test_very_long_text_and_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "lorem ipsum " * 200_000, "a", "b", "c")], "doc_id long, text string, file string, block string, ids string")
+    enc = tiktoken.Encoding("t", pat_str=K._piece_pattern(), mergeable_ranks=K.read_ranks(), special_tokens={})
+    assert K.count_tokens(df, block=1 << 12).head().n_tokens == len(enc.encode_ordinary("lorem ipsum " * 200_000))
