@@ -91,8 +91,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per input row: ``id, k, source, size, source_size, target, rate, copies``.
 
     ``k`` is a hash of id and text. ``size`` is the number of words (null text: 0). Defined cases: a null source is one source, ordered last; texts
-    without words have size 0 and are kept once; ties of size are ordered by a hash of the id and then the id, so
-    that repeated rows are interchangeable; an empty table gives an empty result; other columns are not looked at.
+    without words have size 0 and are kept once; ties of size are ordered by ``k`` and then the id, so that
+    repeated rows are interchangeable; a very long text is a large size and no more; an empty table gives an empty result; other columns are not looked at.
     A source's words come to its target but for less than about its largest document.
 
     The rows of one source and size are numbered in runs of about ``RUN`` rows, by hash, so that a source or a group
@@ -116,13 +116,13 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = groups.withColumn("begin", F.when(F.col("size") == 0, F.lit(0.0)).otherwise(before)).withColumn("runs", F.ceil(F.col("n") / RUN).cast("long"))
     r, g = rows.alias("r"), groups.alias("g")
     dealt = r.join(g, F.col("r.source").eqNullSafe(F.col("g.source")) & (F.col("r.size") == F.col("g.size"))).select(
-        "r.id", "r.k", "r.source", "r.size", "source_size", "target", "rate", "begin", F.xxhash64("r.id").alias("h"), F.pmod(F.xxhash64("r.id", F.lit(7)), F.col("runs")).alias("run"), "runs",
+        "r.id", "r.k", "r.source", "r.size", "source_size", "target", "rate", "begin", F.pmod(F.xxhash64("r.k", F.lit(7)), F.col("runs")).alias("run"), "runs",
     )
     counts = dealt.where("runs > 1").groupBy("source", "size", "run").agg(F.count("*").alias("m"))
     offsets = counts.select("source", "size", "run", (F.sum("m").over(W.partitionBy("source", "size").orderBy("run")) - F.col("m")).alias("skip"))
     d, o = dealt.alias("d"), offsets.alias("o")
     placed = d.join(o, F.col("d.source").eqNullSafe(F.col("o.source")) & (F.col("d.size") == F.col("o.size")) & (F.col("d.run") == F.col("o.run")), "left")
-    k = F.coalesce(F.col("o.skip"), F.lit(0)) + F.row_number().over(W.partitionBy("d.source", "d.size", "d.run").orderBy("d.h", "d.id"))
+    k = F.coalesce(F.col("o.skip"), F.lit(0)) + F.row_number().over(W.partitionBy("d.source", "d.size", "d.run").orderBy("d.k", "d.id"))
     # A millionth keeps whole sums of rates off the edge at which they would be rounded down.
     edge = lambda i: F.floor(F.col("d.begin") + i * F.col("d.rate") + 1e-6)
     copies = F.least((edge(k) - edge(k - 1)).cast("int"), F.lit(int(most)))
