@@ -53,7 +53,7 @@ def test_repositories_alone_change_the_verdict(spark):
     often, seldom = "Qx71" * 6, "Wy82" * 6
     rows = [(i, f"use {often} here" + (f" not {seldom}" if i < S.REPOSITORIES - 1 else ""), "one") for i in range(S.REPOSITORIES)]
     got = {r.id: r for r in S.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
-    assert [(s.start, s.end) for s in got[0].spans] == [(33, 57)] and got[9].spans == []
+    assert [(s.start, s.end) for s in got[0].spans] == [(38, 62)] and got[9].spans == []
     assert [(v.live, v.owners, v.repositories) for v in got[0].verdicts] == [(False, 1, S.REPOSITORIES), (True, 1, S.REPOSITORIES - 1)]
 
 
