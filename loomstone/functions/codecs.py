@@ -152,3 +152,43 @@ def reorder(values: Column, order: Column) -> Column:
 
 def invert_map(m: Column) -> Column:
     return F.map_from_entries(F.transform(F.map_entries(m), lambda e: F.struct(e["value"].alias("key"), e["key"].alias("value"))))
+
+
+def private_text(ids: Column, offset: int) -> Column:
+    """Ids as characters from ``offset`` on, one each: a text that tokenizers can be trained on."""
+    return F.decode(F.unhex(F.array_join(F.transform(ids, lambda t: F.lpad(F.hex(t.cast("long") + offset), 8, "0")), "")), "UTF-32")
+
+
+def private_ids(text: Column, offset: int, vocabulary: int, invalid: str = "raise", end: int | None = None) -> Column:
+    """Ids of such a text. A character outside the vocabulary is an error, is skipped, or becomes the ``end`` mark, as
+    ``invalid`` says (``raise``, ``skip``, ``eos``)."""
+    if invalid not in ("raise", "skip", "eos") or (invalid == "eos" and end is None):
+        raise ValueError(f"characters outside the vocabulary: {invalid!r}, end mark {end}")
+    code = lambda c: F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10).cast("long") - offset
+    ids = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), code)
+    valid = lambda t: (t >= 0) & (t < vocabulary)
+    if invalid == "skip":
+        return F.filter(ids, valid)
+    other = F.lit(end).cast("long") if invalid == "eos" else F.raise_error(F.lit("a character is outside the vocabulary")).cast("long")
+    return F.transform(ids, lambda t: F.when(valid(t), t).otherwise(other))
+
+
+def start_positions(n: Column, k: int, first: int = 0, strategy: str = "even", seed: int = 0) -> Column:
+    """``k`` distinct places below ``n`` (all where there are fewer), ``first`` among them: spread evenly with halves
+    rounded to even, or drawn by hashes of the seed. Repeats give way to the lowest places that are free."""
+    n = n.cast("long")
+    begin = F.pmod(F.lit(first).cast("long"), n)
+    if strategy == "even":
+        drawn = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.pmod(F.bround(begin + i * (n / F.least(F.lit(k), n)), 0).cast("long"), n))
+    elif strategy == "random":
+        drawn = F.concat(F.array(begin), F.transform(F.sequence(F.lit(1), F.lit(4 * k)), lambda i: F.pmod(F.xxhash64(i, F.lit(seed)), n)))
+    else:
+        raise ValueError(f"starts are even or random, not {strategy!r}")
+    taken = F.slice(F.array_distinct(drawn), 1, k)
+    free = F.array_except(F.sequence(F.lit(0).cast("long"), F.least(n, F.lit(2 * k)) - 1), taken)
+    return F.slice(F.concat(taken, free), F.lit(1), F.least(F.lit(k), n).cast("int"))
+
+
+def safe_decode(data: Column, unknown: str = "<unk>") -> Column:
+    """Bytes as UTF-8, where what is malformed becomes the replacement character; nothing at all is ``unknown``."""
+    return F.when(data.isNull(), F.lit(unknown)).otherwise(F.decode(data, "UTF-8"))

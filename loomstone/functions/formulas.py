@@ -135,7 +135,9 @@ def matched_filter(x: Column, sigma: Column) -> Column:
 @F.pandas_udf(T.DoubleType())
 def bit_error_rate(sigma: pd.Series) -> pd.Series:
     """Error rate of thresholding one bit under Gaussian noise; Spark has no erfc."""
-    return sigma.map(lambda s: 0.5 * math.erfc(0.5 / (s * math.sqrt(2))) if s > 0 else 0.0).astype(np.float64)
+    known, at = np.unique(sigma.to_numpy(np.float64), return_inverse=True)  # the levels of a schedule repeat
+    rates = np.array([0.5 * math.erfc(0.5 / (s * math.sqrt(2))) if s > 0 else 0.0 for s in known.tolist()])
+    return pd.Series(rates[at] if len(known) else np.zeros(0))
 
 
 def gate(sigma: Column, centre: float, power: float) -> Column:
@@ -174,3 +176,34 @@ def masked_mean(values: Column, mask: Column) -> Column:
     """Weighted mean with weights summed to 1 at least."""
     total = F.aggregate(F.zip_with(values, mask, lambda v, w: v * w), F.lit(0.0), lambda s, x: s + x)
     return total / F.greatest(F.aggregate(mask, F.lit(0.0), lambda s, x: s + x), F.lit(1.0))
+
+
+def log_sum_exp(scores: Column) -> Column:
+    """Logarithm of the summed exponentials of an array, with its largest entry taken out; an empty one: null."""
+    top = F.array_max(scores)
+    return top + F.log(F.aggregate(F.transform(scores, lambda x: F.exp(x - top)), F.lit(0.0), lambda s, x: s + x))
+
+
+def softmax(scores: Column, temperature: float = 1.0) -> Column:
+    """Probabilities of an array of scores; a temperature near zero is taken as a millionth."""
+    scaled = F.transform(scores, lambda x: x / max(temperature, 1e-6))
+    return F.transform(F.array(scaled), lambda a: F.transform(a, lambda x: F.exp(x - log_sum_exp(a))))[0]
+
+
+def keep_top(scores: Column, k: int) -> Column:
+    """Scores that reach the ``k``-th largest, ties included; the others become a very low one."""
+    least = F.try_element_at(F.sort_array(scores, asc=False), F.least(F.lit(k), F.size(scores)))
+    return F.transform(scores, lambda x: F.when(x < least, F.lit(-1e10)).otherwise(x))
+
+
+def sigmoid(x: Column) -> Column:
+    return 1 / (1 + F.exp(-x))
+
+
+def binary_cross_entropy(logit: Column, target: Column) -> Column:
+    """In nats, from the logit, without overflow at either end."""
+    return F.greatest(logit, F.lit(0.0)) - logit * target + F.log1p(F.exp(-F.abs(logit)))
+
+
+def squared_error(x: Column, y: Column) -> Column:
+    return (x - y) * (x - y)

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -98,7 +98,8 @@ def short_folder(key: Column, hashed: Column | None = None) -> Column:
 @F.pandas_udf(T.StringType())
 def general_format(x: pd.Series) -> pd.Series:
     """Eight significant digits in the shortest form, as C's ``%.8g``; null is ``none``."""
-    return x.map(lambda v: "none" if v is None or (isinstance(v, float) and math.isnan(v)) else f"{v:.8g}")
+    values = x.to_numpy(np.float64)
+    return pd.Series(np.where(np.isnan(values), "none", np.char.mod("%.8g", np.nan_to_num(values, posinf=np.inf, neginf=-np.inf))), dtype=object)
 
 
 def count_literal(x: Column, what: str) -> Column:

@@ -59,15 +59,20 @@ def frechet_distance(df: DataFrame, group: str, vector: str, size: int, first, s
     return df.sparkSession.createDataFrame([(first, second, max(0.0, value))], f"first {dict(df.dtypes)[group]}, second {dict(df.dtypes)[group]}, distance double")
 
 
-def frontier_score(df: DataFrame, group: str, vector: str, first, second, clusters: int = 16, scale: float = 5.0, seed: int = 7) -> DataFrame:
+def frontier_score(df: DataFrame, group: str, vector: str, first, second, clusters: int = 16, scale: float = 5.0, seed: int = 7, components: int = 0) -> DataFrame:
     """Area under the divergence frontier of two groups, quantised by k-means over both.
 
-    Clustering is distributed; the histograms that come to the driver have one number per cluster.
+    With ``components``, vectors are first projected on so many principal components of both groups. That and the
+    clustering are distributed; the histograms that come to the driver have one number per cluster.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     rows = df.where(F.col(group).isin(first, second)).select(group, array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
+    if components:
+        from pyspark.ml.feature import PCA
+
+        rows = PCA(k=components, inputCol="features", outputCol="projected").fit(rows).transform(rows).select(group, F.col("projected").alias("features"))
     model = KMeans(k=clusters, seed=seed, maxIter=30).fit(rows)
     counts = model.transform(rows).groupBy(group, "prediction").agg(F.count("*").alias("n")).collect()
     hist = {g: np.zeros(clusters) for g in (first, second)}

@@ -33,15 +33,20 @@ def _merge(symbols: Column, left: str, right: str) -> Column:
     return F.aggregate(symbols, F.array().cast("array<string>"), step)
 
 
-def learn_merges(docs: DataFrame, words: Column, n: int, least: int = 2, materialise=None) -> DataFrame:
+def learn_merges(docs: DataFrame, words: Column, n: int, least: int = 2, materialise=None, warm: list[tuple[str, str]] | None = None) -> DataFrame:
     """``rank, left, right, n`` of ``n`` merges: the most frequent pair each time, ties by left and right symbol.
 
+    ``warm`` lists merges of an earlier run, which are applied first and not counted again.
+
     One pair comes to the driver per merge. ``materialise`` (a function from DataFrame to DataFrame) may cut the
     lineage of long runs; by default the words are written to the checkpoint folder every tenth merge where the
     session has one, and kept cached otherwise.
     """
     spark = docs.sparkSession
-    symbols = word_symbols(docs, words).cache()
+    symbols = word_symbols(docs, words)
+    if warm:
+        symbols = symbols.select(encode_words(F.col("symbols"), warm).alias("symbols"), "n")
+    symbols = symbols.cache()
     found: list[tuple[int, str, str, int]] = []
     for rank in range(n):
         top = pair_frequencies(symbols).orderBy(F.desc("n"), "left", "right").limit(1).head()
@@ -75,3 +80,29 @@ def encode_words(symbols: Column, merges: list[tuple[str, str]]) -> Column:
     for left, right in merges:
         symbols = _merge(symbols, left, right)
     return symbols
+
+
+# The marks that come first in every trained vocabulary.
+SPECIALS = ("[PAD]", "[UNK]", "[EOSEQ]")
+
+
+def train_vocabulary(docs: DataFrame, words: Column, size: int, alphabet: list[str] | None = None, least: int = 2, specials: tuple[str, ...] = SPECIALS, warm: list[tuple[str, str]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Vocabulary (``id, token``) and merges (``rank, left, right, n``) of at most ``size`` entries.
+
+    First come the marks, then single characters in order: the forced ``alphabet`` and those of the corpus, then what
+    the merges make: those of ``warm``, an earlier run's, at their old places, and the new ones. A merge that makes a
+    token which is there already adds none. Alphabet, marks and merges are bounded by ``size``.
+    """
+    spark = docs.sparkSession
+    seen = word_symbols(docs, words).select(F.explode("symbols").alias("c")).distinct()
+    forced = set(alphabet or [])
+    room = max(0, size - len(specials) - len(forced))
+    singles = [r["c"] for r in seen.where(~F.col("c").isin(*forced) if forced else F.lit(True)).orderBy("c").limit(room).collect()]
+    tokens = dict.fromkeys([*specials, *sorted(forced | set(singles))])
+    warm = list(warm or [])[: max(0, size - len(tokens))]
+    tokens |= dict.fromkeys(a + b for a, b in warm)
+    learned = learn_merges(docs, words, max(0, size - len(tokens)), least, warm=warm)
+    new = [(r["left"], r["right"], r["n"]) for r in learned.orderBy("rank").collect()]
+    tokens |= dict.fromkeys(a + b for a, b, _ in new)
+    merges = [(k, a, b, n) for k, (a, b, n) in enumerate([*((a, b, None) for a, b in warm), *new])]
+    return spark.createDataFrame(list(enumerate(list(tokens)[:size])), "id int, token string"), spark.createDataFrame(merges, "rank int, left string, right string, n long")

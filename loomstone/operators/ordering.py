@@ -124,17 +124,15 @@ def improve_path(path: np.ndarray, unit: np.ndarray, window: int, rounds: int =
     return path
 
 
-def greedy_order(df: DataFrame, group: str, key: str, vector: str, starts: int = 3, window: int = 32, most: int = 20_000) -> DataFrame:
+def greedy_order(df: DataFrame, group: str, key: str, vector: str, starts: int = 3, window: int = 32) -> DataFrame:
     """``group, key, place``: per group, the best of several nearest-neighbour paths, improved within a window.
 
-    The path is sequential by nature and a group is ordered in one task; groups of more than ``most`` rows are
-    refused rather than cut.
+    The path is sequential by nature, so a group is ordered in one task, in time that grows with the square of its size;
+    the vectors of the group are all that is held. Groups are vocabularies, whose size is a parameter.
     """
     types = dict(df.dtypes)
 
     def order(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > most:
-            raise ValueError(f"a group of {len(pdf)} rows is too large to be ordered in one task")
         pdf = pdf.sort_values(key).reset_index(drop=True)
         x = np.stack(pdf[vector].to_numpy()).astype(float)
         unit = x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-8)

@@ -6,9 +6,16 @@ only one total per range meets in one place. Ranges are at most ``RANGES``, what
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 RANGES = 4096
 
@@ -16,14 +23,13 @@ RANGES = 4096
 def running_total(df: DataFrame, order: str, amount: Column, name: str = "start") -> DataFrame:
     """``df`` with the sum of ``amount`` over all rows before, in order of a whole-number key without repeats.
 
-    Every row goes to one of at most ``RANGES`` equal ranges of the key; windows run within ranges, and the totals of
-    the ranges (a table of that size) are added up and joined back by broadcast.
+    The key is cut at approximate quantiles into at most ``RANGES`` ranges, so keys that lie close together in places
+    fill them evenly; windows run within ranges, and the totals of the ranges (a table of that size) are added up and
+    joined back by broadcast. The cuts read the key alone, the totals the key and the amount.
     """
-    low, high = df.agg(F.min(order), F.max(order)).head()
-    if low is None:
-        return df.withColumn(name, F.lit(0).cast("long"))
-    width = max(1, -(-(high - low + 1) // RANGES))
-    rows = df.withColumn("_amount", amount.cast("long")).withColumn("_range", F.floor((F.col(order) - low) / width))
+    parts = min(RANGES, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    cuts = sorted(set(df.agg(F.percentile_approx(order, [k / parts for k in range(1, parts)], 10 * parts).alias("c")).head()["c"] or []))
+    rows = df.withColumn("_amount", amount.cast("long")).withColumn("_range", _place(F.col(order), cuts))
     before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     totals = rows.groupBy("_range").agg(F.sum("_amount").alias("_total")).select("_range", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
     inside = W.partitionBy("_range").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
@@ -31,6 +37,15 @@ def running_total(df: DataFrame, order: str, amount: Column, name: str = "start"
     return rows.join(F.broadcast(totals), "_range").withColumn(name, F.col("_offset") + F.col("_inside")).drop("_range", "_amount", "_inside", "_offset")
 
 
+def _place(value: Column, cuts: list) -> Column:
+    """How many of the sorted ``cuts`` are smaller than ``value``, by halving."""
+    if not cuts:
+        return F.lit(0)
+    array = F.array(*[F.lit(c) for c in cuts])
+    steps = F.array(*[F.lit(1 << k) for k in range(len(cuts).bit_length() - 1, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda n, s: F.when((n + s <= len(cuts)) & (F.try_element_at(array, n + s) < value), n + s).otherwise(n))
+
+
 def row_numbers(df: DataFrame, order: str, name: str = "row") -> DataFrame:
     """``df`` with the zero-based place of every row in order of a whole-number key."""
     return running_total(df, order, F.lit(1), name)
@@ -50,12 +65,33 @@ def vocabulary(docs: DataFrame, words: Column, size: int, reserved: int = 0) ->
 
 
 def encode(docs: DataFrame, key: str, words: Column, vocab: DataFrame, unknown: int) -> DataFrame:
-    """``key, ids``: word ids in order, ``unknown`` for words outside the vocabulary (which is broadcast: its size is
-    a parameter of ``vocabulary``). Documents without words have no ids."""
-    exploded = docs.select(key, F.posexplode(words).alias("pos", "word"))
-    coded = exploded.join(F.broadcast(vocab.select("word", "id")), "word", "left").select(key, F.struct("pos", F.coalesce("id", F.lit(unknown)).alias("id")).alias("x"))
-    grouped = coded.groupBy(key).agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["id"]).alias("ids"))
-    return docs.select(key).join(grouped, key, "left").select(key, F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+    """``key, ids``: word ids in order, ``unknown`` for words outside the vocabulary. Documents without words have no ids.
+
+    Words are looked up within their row, in Arrow batches, so no token is moved. The vocabulary travels with the tasks:
+    its size is a parameter of ``vocabulary``.
+    """
+    known = vocab.select("word", "id").toPandas()
+    shared = docs.sparkSession.sparkContext.broadcast((pa.array(known["word"], pa.string()), known["id"].to_numpy(np.int32)))
+    rows = docs.select(key, words.alias("_words"))
+    schema = T.StructType([rows.schema[key], T.StructField("ids", T.ArrayType(T.IntegerType()))])
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, ids = shared.value
+        for batch in batches:
+            lists = batch.column(1)
+            found = pc.index_in(lists.flatten(), value_set=names)
+            at = found.fill_null(-1).to_numpy(zero_copy_only=False)
+            codes = np.where(at >= 0, ids[np.maximum(at, 0)] if len(ids) else unknown, unknown).astype(np.int32)
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(codes))], names=[key, "ids"])
+
+    return rows.mapInArrow(look_up, schema)
+
+
+def _once(encoded: DataFrame) -> DataFrame:
+    """Non-empty rows, encoded once: cuts, totals and rows all read what is kept."""
+    return encoded.where(F.size("ids") > 0).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _cut(pieces: DataFrame, length: int) -> DataFrame:
@@ -71,7 +107,7 @@ def _cut(pieces: DataFrame, length: int) -> DataFrame:
 def pack_between(encoded: DataFrame, key: str, length: int, boundary: int | None, pad: int | None = None) -> DataFrame:
     """``seq_id, ids``: the stream of all non-empty examples with ``boundary`` between them (never first), in blocks
     of ``length``. The tail is dropped, or filled up with ``pad`` where one is given."""
-    full = encoded.where(F.size("ids") > 0)
+    full = _once(encoded)
     if boundary is not None:
         placed = running_total(full.select(key, "ids"), key, F.size("ids") + 1)
         run = F.when(F.col("start") == 0, F.col("ids")).otherwise(F.concat(F.array(F.lit(boundary)), F.col("ids")))
@@ -86,7 +122,7 @@ def pack_between(encoded: DataFrame, key: str, length: int, boundary: int | None
 
 def flat_stream(encoded: DataFrame, key: str, end: int) -> DataFrame:
     """``key, start, run``: the stream with ``end`` after every non-empty document, the last one too."""
-    full = encoded.where(F.size("ids") > 0).select(key, F.concat("ids", F.array(F.lit(end))).alias("run"))
+    full = _once(encoded).select(key, F.concat("ids", F.array(F.lit(end))).alias("run"))
     return running_total(full, key, F.size("run"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomstone.operators.packing import RANGES
+from loomstone.operators.packing import RANGES, _place
 
 
 def ordered_shards(df: DataFrame, order: list[str], shards: int) -> DataFrame:
@@ -21,8 +21,7 @@ def ordered_shards(df: DataFrame, order: list[str], shards: int) -> DataFrame:
     parts = min(RANGES, max(1, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))))
     cuts = df.agg(F.percentile_approx(first, [k / parts for k in range(1, parts)], 10000).alias("c")).head()["c"] if parts > 1 else None
     cuts = sorted(set(cuts or []))
-    where = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(first))) if cuts else F.lit(0)
-    rows = df.withColumn("_range", where)
+    rows = df.withColumn("_range", _place(F.col(first), cuts))
     totals = rows.groupBy("_range").agg(F.count("*").alias("_m"))
     every = W.partitionBy()
     totals = totals.select("_range", F.coalesce(F.sum("_m").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_skip"), F.sum("_m").over(every).alias("_n"))

@@ -135,9 +135,13 @@ def best_indices(spark, sf):
     return e.select("vec_id", C.best_index(F.col("embedding")).alias("best"), F.array_join(bits, "").alias("reordered"))
 
 
-@plans.add("checksums")
+@plans.add("checksums", """
+WITH RECURSIVE r AS (SELECT i, i::BIGINT AS c, 0 AS k FROM range(0, 256) t(i) UNION ALL SELECT i, xor(c >> 1, CASE WHEN c % 2 = 1 THEN 3988292384 ELSE 0 END), k + 1 FROM r WHERE k < 8),
+t AS (SELECT list(c ORDER BY i) AS v FROM r WHERE k = 8),
+s AS (SELECT url, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(url, ''), lambda x: ord(x)::BIGINT)), lambda c, b: xor(c >> 8, v[((xor(c, b) & 255) + 1)::INT])), 4294967295) AS crc FROM pages, t)
+SELECT url, crc, crc % 1000 + 2997 AS seed FROM s""")
 def checksums(spark, sf):
-    """CRC-32 of keys and seeds derived from it; crc32 is no SQL function everywhere."""
+    """CRC-32 of keys and seeds derived from it, whose SQL counterpart goes by table."""
     return table(spark, sf, "pages").select("url", F.crc32("url").alias("crc"), (F.crc32("url") % 1000 + 999 * 3).alias("seed"))
 
 
@@ -183,3 +187,22 @@ def warm_start_check(spark, sf):
 
     n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("i"), F.col("n_name").alias("m"))
     return prefix_check(n.where("i < 10"), n.withColumn("m", F.when(F.col("i") == 7, "OTHER").otherwise(F.col("m"))), "i", "m")
+
+
+@plans.add("private_use_text", f"{_BITS} SELECT l_orderkey, array_to_string(list_transform(ids, lambda t: chr((57344 + t)::INT)), '') AS text, array_to_string(ids, ',') AS back, array_to_string(list_transform(ids, lambda t: CASE WHEN t < 30000 THEN t ELSE 1 END), ',') AS ended, array_to_string(list_filter(ids, lambda t: t < 30000), ',') AS skipped FROM b")
+def private_use_text(spark, sf):
+    """Ids as private-use characters, the ids of such texts, and what characters outside the vocabulary become."""
+    t = _orders(spark, sf).select("l_orderkey", C.private_text(F.col("ids"), 0xE000).alias("text"))
+    joined = lambda ids: F.array_join(ids.cast("array<string>"), ",")
+    back = lambda n, *how: joined(C.private_ids(F.col("text"), 0xE000, n, *how))
+    return t.select("l_orderkey", "text", back(32768).alias("back"), back(30000, "eos", 1).alias("ended"), back(30000, "skip").alias("skipped"))
+
+
+@plans.add("trained_vocabulary")
+def trained_vocabulary(spark, sf):
+    """Marks, a forced alphabet, and the entries of merges learned after those of an earlier run."""
+    from loomstone.functions.text import words
+    from loomstone.operators.merges import train_vocabulary
+
+    docs = table(spark, sf, "benchmark").select(words(F.col("text")).alias("w"))
+    return train_vocabulary(docs, F.col("w"), 90, [chr(c) for c in range(97, 123)], warm=[("e", "n"), ("a", "r")])[0]

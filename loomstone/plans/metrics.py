@@ -267,3 +267,24 @@ def log_binned_means(spark, sf):
     agg = e.groupBy("bin").agg(F.count("*").alias("n"), F.avg("m").alias("mean"), F.avg(F.col("m") / (F.col("s") * F.col("s"))).alias("ratio"))
     spine = spark.range(k).select(F.col("id").cast("int").alias("bin"))
     return spine.join(agg, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"), F.round("mean", 6).alias("mean"), F.round("ratio", 6).alias("ratio"), F.col("n").isNull().alias("none"))
+
+
+@plans.add("binary_losses", """
+WITH e AS (SELECT user_id, value / 60 - 4 AS x, (event_id % 2)::DOUBLE AS y FROM events)
+SELECT user_id, round(avg(greatest(x, 0) - x * y + ln(1 + exp(-abs(x)))), 9) AS cross_entropy, round(avg(pow(1 / (1 + exp(-x)) - y, 2)), 9) AS squared, round(avg(pow(1 / (1 + exp(-x)) - y, 2) / ln(2)), 9) AS squared_bits FROM e GROUP BY 1""")
+def binary_losses(spark, sf):
+    """Cross entropy of logits and squared error of their probabilities, averaged."""
+    x, y = F.col("value") / 60 - 4, (F.col("event_id") % 2).cast("double")
+    s = M.squared_error(M.sigmoid(x), y)
+    return table(spark, sf, "events").groupBy("user_id").agg(F.round(F.avg(M.binary_cross_entropy(x, y)), 9).alias("cross_entropy"), F.round(F.avg(s), 9).alias("squared"), F.round(F.avg(s / math.log(2)), 9).alias("squared_bits"))
+
+
+@plans.add("top_probabilities", """
+WITH o AS (SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_quantity / 10 / 0.7 AS x, rank() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC) AS r FROM lineitem),
+m AS (SELECT *, CASE WHEN r <= 3 THEN x ELSE -1e10 END AS z FROM o)
+SELECT l_orderkey, round(max(z) + ln(sum(exp(z - t))), 9) AS log_total, round(max(exp(z - t)) / sum(exp(z - t)), 9) AS largest, sum((z > -1e9)::BIGINT)::BIGINT AS n_kept FROM (SELECT *, max(z) OVER (PARTITION BY l_orderkey) AS t FROM m) GROUP BY 1""")
+def top_probabilities(spark, sf):
+    """Scores at a temperature, those below the third largest masked, and their probabilities, from arrays."""
+    a = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.col("l_quantity") / 10 / 0.7).alias("x"))
+    a = a.select("l_orderkey", M.keep_top(F.col("x"), 3).alias("z")).select("l_orderkey", "z", M.softmax(F.col("z")).alias("p"))
+    return a.select("l_orderkey", F.round(M.log_sum_exp(F.col("z")), 9).alias("log_total"), F.round(F.array_max("p"), 9).alias("largest"), F.size(F.filter("z", lambda v: v > -1e9)).cast("long").alias("n_kept"))

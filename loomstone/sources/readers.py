@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstone.functions.text import strip
+from loomstone.operators.packing import row_numbers
 
 Reader = Callable[..., DataFrame]
 _READERS: dict[str, Reader] = {}
@@ -57,12 +60,47 @@ def decode_bytes(spark: SparkSession, path: str, column: str) -> DataFrame:
 
 
 @register("durations")
-def read_durations(spark: SparkSession, path: str, least: float = 0.0, most: float = 32.0) -> DataFrame:
+def read_durations(spark: SparkSession, path: str, least: float = 0.0, most: float = 32.0, first: int | None = None) -> DataFrame:
     """``sample_id, seconds``: rows of two columns whose second is a number within the inclusive range. A header and
-    malformed rows are passed over."""
-    rows = spark.read.text(path).select(F.split("value", ",").alias("c")).where(F.size("c") >= 2)
-    rows = rows.select(strip(F.col("c")[0]).alias("sample_id"), strip(F.col("c")[1]).try_cast("double").alias("seconds"))
-    return rows.where(F.col("seconds").between(least, most))
+    malformed rows are passed over. With ``first``, the rows up to the place in the files where so many distinct ids
+    have been seen, the row of the last of them included."""
+    place = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    rows = spark.read.text(path).select(F.split("value", ",").alias("c"), place.alias("at")).where(F.size("c") >= 2)
+    rows = rows.select(strip(F.col("c")[0]).alias("sample_id"), strip(F.col("c")[1]).try_cast("double").alias("seconds"), "at")
+    rows = rows.where(F.col("seconds").between(least, most))
+    return (rows if first is None else until_distinct(rows, "sample_id", "at", first)).select("sample_id", "seconds")
+
+
+def until_distinct(rows: DataFrame, key: str, order: str, first: int) -> DataFrame:
+    """Rows in order up to that in which the ``first``-th distinct key occurs for the first time."""
+    starts = rows.groupBy(key).agg(F.min(order).alias("_start")).orderBy("_start").limit(first)
+    last = F.broadcast(starts.agg(F.max("_start").alias("_last"), F.count("*").alias("_n")))  # one row
+    return rows.crossJoin(last).where((F.col("_n") < first) | (F.col(order) <= F.col("_last"))).drop("_last", "_n")
+
+
+#: ``train``, ``train[:100]``, ``train[-100:]``, ``train[10%:20%]``
+_SLICE = re.compile(r"(\w+)(?:\[(-?\d+%?)?:(-?\d+%?)?\])?")
+
+
+def read_split(splits: dict[str, DataFrame], spec: str, order: str) -> DataFrame:
+    """The rows of a split in slice syntax: places in order of a unique whole-number key, negative ones from the end,
+    per cent of all rows rounded to the nearest."""
+    found = _SLICE.fullmatch(spec.strip())
+    if not found or found[1] not in splits:
+        raise ValueError(f"{spec!r} names no slice of {sorted(splits)}")
+    df = splits[found[1]]
+    if found[2] is None and found[3] is None:
+        return df
+    n = df.count()
+
+    def place(text: str | None, default: int) -> int:
+        if text is None:
+            return default
+        k = round(int(text[:-1]) * n / 100) if text.endswith("%") else int(text)
+        return min(n, max(0, k + n if k < 0 else k))
+
+    begin, end = place(found[2], 0), place(found[3], n)
+    return row_numbers(df, order, "_row").where((F.col("_row") >= begin) & (F.col("_row") < end)).drop("_row")
 
 
 @register("held_out")
@@ -92,17 +130,38 @@ def list_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
 
 
 @register("blocks")
-def read_blocks(spark: SparkSession, path: str, width: int, bytes_each: int = 2) -> DataFrame:
-    """``file, seq_id, ids``: raw little-endian id matrices of ``width`` ids a row; a broken last row is an error."""
-    dtype = {2: "<u2", 4: "<u4"}[bytes_each]
+def read_blocks(spark: SparkSession, path: str, width: int, bytes_each: int = 2, rows_each: int = 4096) -> DataFrame:
+    """``file, seq_id, ids``: raw little-endian id matrices of ``width`` ids a row; a broken last row is an error.
+
+    Only names and lengths are listed. Every task reads runs of ``rows_each`` rows at their places, so a file may have
+    any length. Executors open the files through Arrow, which knows local, HDFS, S3 and GCS paths.
+    """
+    dtype, row = {2: "<u2", 4: "<u4"}[bytes_each], width * bytes_each
+    listed = spark.read.format("binaryFile").load(path).select("path", "length")
+    whole = F.when(F.col("length") % row == 0, F.floor(F.col("length") / row)).otherwise(F.raise_error(F.lit("the last row is broken")).cast("long"))
+    listed = listed.withColumn("n", whole).where("n > 0")
+    places = listed.select("path", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(rows_each).cast("long"))).alias("begin"))
+
+    def read_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for name, content in zip(batch["path"], batch["content"], strict=True):
+            for name, n, begin in zip(batch["path"], batch["n"], batch["begin"], strict=True):
+                system, inner = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", name))
+                with system.open_input_file(inner) as f:
+                    content = f.read_at(min(rows_each, n - begin) * row, begin * row)
                 ids = np.frombuffer(content, dtype).reshape(-1, width).astype(np.int64)
-                yield pd.DataFrame({"file": name, "seq_id": np.arange(len(ids)), "ids": list(ids)})
+                yield pd.DataFrame({"file": name, "seq_id": begin + np.arange(len(ids)), "ids": list(ids)})
+
+    return places.repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions", "200")), "path", "begin").mapInPandas(read_rows, "file string, seq_id long, ids array<long>")
+
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(rows, "file string, seq_id long, ids array<long>")
+@register("shaped_blocks")
+def read_shaped(spark: SparkSession, path: str, sidecar: str) -> DataFrame:
+    """A raw id file whose JSON sidecar tells its shape (``shape``: rows and width, or the length alone) and ``dtype``."""
+    meta = json.loads(spark.read.text(sidecar, wholetext=True).head()[0])
+    shape = meta["shape"]
+    return read_blocks(spark, path, shape[1] if len(shape) > 1 else 1, {"uint16": 2, "uint32": 4}[meta.get("dtype", "uint16")])
 
 
 @register("id_map")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstone.functions.text import html_escape
@@ -40,10 +42,51 @@ def append_results(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").partitionBy("metric").parquet(path)
 
 
-def rewrite_results(rows: DataFrame, path: str, staging: str) -> None:
-    """Replace a result table that ``rows`` was computed from: written aside first, then copied over."""
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), spark._jvm.org.apache.hadoop.fs.Path
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Put back the old table where a replacement broke off between taking it away and putting the new one in place."""
+    files, at = _file_system(spark, path)
+    if not files.exists(at(path)) and files.exists(at(f"{path}.old")):
+        files.rename(at(f"{path}.old"), at(path))
+
+
+def rewrite_results(rows: DataFrame, path: str, staging: str | None = None) -> None:
+    """Replace a result table that ``rows`` may be computed from: the new one is written aside and renamed into place.
+
+    The old table is renamed away first and removed last, so a run that breaks off leaves one of the two whole;
+    ``recover`` puts the old one back where the new one did not arrive.
+    """
+    spark = rows.sparkSession
+    recover(spark, path)
+    files, at = _file_system(spark, path)
+    staging = staging or f"{path}.new"
     rows.write.mode("overwrite").parquet(staging)
-    rows.sparkSession.read.parquet(staging).write.mode("overwrite").parquet(path)
+    files.delete(at(f"{path}.old"), True)
+    if files.exists(at(path)) and not files.rename(at(path), at(f"{path}.old")):
+        raise OSError(f"cannot rename {path}")
+    if not files.rename(at(staging), at(path)):
+        recover(spark, path)
+        raise OSError(f"cannot rename {staging}")
+    files.delete(at(f"{path}.old"), True)
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """One small file as it is, such as a sidecar or an id matrix, in any store Spark writes to."""
+    files, at = _file_system(spark, path)
+    out = files.create(at(path), True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
+def write_manifest(spark: SparkSession, path: str, key: str, settings: dict) -> None:
+    """The settings that a cache key stands for, as JSON beside the data (names in order)."""
+    write_bytes(spark, path, json.dumps({"key": key, "settings": settings}, sort_keys=True, ensure_ascii=False).encode())
 
 
 def write_summary(rows: DataFrame, path: str) -> None:

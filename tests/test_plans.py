@@ -22,7 +22,7 @@ def test_filters_and_columns_reach_the_scan(spark, sf):
 PYTHON = {"short_folders_blake2b", "general_number_format", "bit_error_rates", "stochastic_tags", "cache_keys", "principal_order", "greedy_order", "gaussian_statistics", "injected_tokenizer"}
 
 
-@pytest.mark.parametrize("name", ["language_token_entropy", "distinct_3", "packed_blocks", "vocabulary", "token_bits", "secded_repairs", "speaker_conditioned_rows", "upserted_results", "neighbourhoods", "word_error_rate", "noise_schedule"])
+@pytest.mark.parametrize("name", ["language_token_entropy", "distinct_3", "vocabulary", "token_bits", "secded_repairs", "speaker_conditioned_rows", "upserted_results", "neighbourhoods", "word_error_rate", "noise_schedule"])
 def test_no_python_and_no_cartesian_product(spark, sf, name):
     plan = _plan(QUERIES[name](spark, sf))
     assert not re.search(r"Python|Arrow|Pandas|CartesianProduct", plan)
@@ -33,3 +33,11 @@ def test_words_of_documents_are_not_shuffled(spark, sf, name):
     """What moves is partial sums per language, or nothing."""
     plan = _plan(QUERIES[name](spark, sf))
     assert not re.search(r"Exchange hashpartitioning\([^)]*doc_id", plan) and "Generate" not in plan
+
+
+@pytest.mark.parametrize("name", ["encoded_documents", "packed_blocks", "wrapped_blocks", "flat_stream"])
+def test_tokens_are_looked_up_in_their_rows(spark, sf, name):
+    """What is moved are whole runs of ids and parts of them; no row per token is made."""
+    plan = _plan(QUERIES[name](spark, sf))
+    explodes = re.findall(r"Generate (\w+)\(", plan)
+    assert "posexplode" not in explodes and "MapInArrow" in plan and not re.search(r"Exchange hashpartitioning\(word", plan) and len(explodes) <= 1
