@@ -2,23 +2,41 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomstone.plans.base import Plans
-from loomstone.session import table
+from loomstone.operators.relational import last_wins
+from loomstone.session import scratch, table
+from loomstone.sources.sinks import exists
 from loomstone.streaming import state as S
 
 plans = Plans()
 
 
-def _run(stream, mode: str):
-    """Run a stream over what is there and return its result table."""
-    name = f"stream_{uuid.uuid4().hex[:12]}"
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+def _run(stream, mode: str, key: str | None = None):
+    """Run a stream over what is there and return its result table.
+
+    Batches are written under the shared folder by their numbers, so a batch that is done again replaces itself and
+    nothing passes the driver. Of updates the last of each ``key`` counts, of complete results the last batch.
+    """
+    spark = stream.sparkSession
+    path = scratch(spark, "stream")
+
+    def put(batch, number: int) -> None:
+        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch-{number}")
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    if not exists(spark, path):
+        return spark.createDataFrame([], stream.schema)
+    schema = T.StructType([*stream.schema.fields, T.StructField("_batch", T.IntegerType())])
+    out = spark.read.schema(schema).parquet(f"{path}/batch-*")
+    if mode == "update":
+        return last_wins(out, [key], "_batch").select(*stream.columns)
+    if mode == "complete":
+        out = out.where(F.col("_batch") == out.agg(F.max("_batch")).head()[0])
+    return out.drop("_batch")
 
 
 def _events(spark, sf):
@@ -29,13 +47,13 @@ def _events(spark, sf):
 @plans.add("ring_buffers", "SELECT user_id, count(*) AS size, round(sum(value), 6) AS total, round(arg_max(value, event_id), 6) AS last FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 32) GROUP BY 1")
 def ring_buffers(spark, sf):
     """Buffers of 32 entries per key after all of a stream's batches."""
-    out = _run(S.ring_buffer(_events(spark, sf), "user_id", "event_id", "value", 32), "update")
+    out = _run(S.ring_buffer(_events(spark, sf), "user_id", "event_id", "value", 32), "update", "user_id")
     return out.select("user_id", "size", F.round("total", 6).alias("total"), F.round("last", 6).alias("last"))
 
 
 @plans.add("stream_averages", "SELECT user_id, count(*) AS n, round(sum(0.1 * pow(0.9, c - r) * value), 6) AS average FROM (SELECT user_id, value, count(*) OVER (PARTITION BY user_id) AS c, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events) GROUP BY 1")
 def stream_averages(spark, sf):
-    out = _run(S.moving_average(_events(spark, sf), "user_id", "event_id", "value", 0.9), "update")
+    out = _run(S.moving_average(_events(spark, sf), "user_id", "event_id", "value", 0.9), "update", "user_id")
     return out.select("user_id", "n", F.round("average", 6).alias("average"))
 
 
