@@ -4,33 +4,17 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import shutil
-import tempfile
-import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomstone.session import scratch
+
 #: White space of the word rule ``[^\x20\x09-\x0D]+``; no other character separates words.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-_CHECKPOINT = "spark.checkpoint.dir"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. Where a local session names none (tests), a local one is set; a cluster
-    must name one, since its executors would write to folders that the others do not see."""
-    path = spark.conf.get(_CHECKPOINT, None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(f"{_CHECKPOINT} must name a folder that the driver and all executors share")
-        own = tempfile.mkdtemp(prefix="loomstone-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        path = f"file://{own}"
-        spark.conf.set(_CHECKPOINT, path)
-    return path.rstrip("/")
 
 
 #: Tables that results may still read; they go when the driver ends.
@@ -60,7 +44,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     This cuts lineage with files every executor can read, so a lost executor costs one task at most.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     _LEFT.add(path)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
