@@ -164,7 +164,8 @@ def quality_score(forest: Forest):
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", name: str = "score") -> DataFrame:
-    """``docs`` with one more column, the score between 0 and 1; rows and columns stay, an empty table stays empty."""
+    """``docs`` with one more column, the score between 0 and 1; rows and columns stay, but for a column of the score's
+    name, which is replaced; an empty table stays empty, a very long text is measured whole."""
     return docs.withColumn(name, quality_score(fit_quality(docs, labels, id_col, text_col, label_col))(F.col(text_col)))
 
 
