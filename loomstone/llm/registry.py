@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomstone.llm import chat, decontam, lines, mixing, nearsets, pii, quality, secrets, tokens, vectors
+from loomstone.llm import alignment, chat, decontam, hostrules, infilling, lines, mixing, nearsets, pii, quality, secrets, tokens, vectors
 
-MODULES = (lines, decontam, secrets, mixing, nearsets, pii, quality, tokens, vectors, chat)
+MODULES = (lines, decontam, secrets, mixing, nearsets, pii, quality, tokens, vectors, chat, infilling, hostrules, alignment)
 
 
 def queries() -> dict:
