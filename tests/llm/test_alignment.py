@@ -84,6 +84,26 @@ def test_byte_alphabet_gives_back_every_byte():
     assert sorted(A._byte_of().values()) == list(range(256)) and A.decoded_bytes("Ġa") == b" a" and A.decoded_bytes("Ċ") == b"\n"
 
 
+def test_both_ways_of_encoding_agree():
+    """Random texts over settled characters of every kind, and texts that only the library itself encodes."""
+    from tokenizers import Tokenizer
+
+    path = f"{A.TOKENIZERS}/byte_bpe_50k.json"
+    slow = Tokenizer.from_file(path)
+    slow.encode_special_tokens = True
+    quick, settled = A._by_ranks(path), A._settled()
+    rng = np.random.default_rng(5)
+    chars = [chr(c) for c in np.flatnonzero(settled)]
+    common = [c for c in chars if c < "\u0250"] + list(" \n\t'") * 40 + ["'s", "'ll", "<|endoftext|>"] * 10
+    texts = ["".join(rng.choice(pool, int(rng.integers(1, 60)))) for pool in (chars, common) for _ in range(3000)] + ["".join(chars[k : k + 500]) for k in range(0, len(chars), 500)]
+    assert quick is not None and len(chars) > 40_000 and all(A._within(settled, t) for t in texts)
+    for t in texts:
+        assert quick(f" {t}") == slow.encode(f" {t}", add_special_tokens=False).ids, t
+    assert not A._within(settled, "a \U0001f600") and not A._within(settled, "\u0378")
+    side = A.byte_level(path)
+    assert side.encode(["a \U0001f600", "b"]) == [slow.encode(f" {t}", add_special_tokens=False).ids for t in ("a \U0001f600", "b")]
+
+
 def test_links_of_repeated_ends():
     ends, a, b = A.links(np.array([2, 2, 5, 7]), np.array([2, 4, 7, 7, 7]))
     assert ends.tolist() == [2, 7] and list(zip(a.tolist(), b.tolist(), strict=True)) == [(0, 0), (1, 0), (3, 2), (3, 3), (3, 4)]
