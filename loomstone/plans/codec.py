@@ -206,3 +206,26 @@ def trained_vocabulary(spark, sf):
 
     docs = table(spark, sf, "benchmark").select(words(F.col("text")).alias("w"))
     return train_vocabulary(docs, F.col("w"), 90, [chr(c) for c in range(97, 123)], warm=[("e", "n"), ("a", "r")])[0]
+
+
+@plans.add("large_vocabulary")
+def large_vocabulary(spark, sf):
+    """65,536 entries, or as many as there are pairs for, learned from all documents in rounds of many merges."""
+    from loomstone.functions.text import words
+    from loomstone.operators.merges import train_vocabulary
+
+    docs = table(spark, sf, "documents").select(words(F.col("text")).alias("w"))
+    return train_vocabulary(docs, F.col("w"), 1 << 16, [chr(c) for c in range(32, 127)])[0]
+
+
+@plans.add("grown_vocabulary")
+def grown_vocabulary(spark, sf):
+    """A vocabulary of 6,000 entries grown to 9,000 by a warm start, and whether it still has the old entries in place."""
+    from loomstone.functions.text import words
+    from loomstone.operators.merges import prefix_check, train_vocabulary
+
+    docs = table(spark, sf, "documents").select(words(F.col("text")).alias("w"))
+    old, merges = train_vocabulary(docs, F.col("w"), 6000)
+    new, _ = train_vocabulary(docs, F.col("w"), 9000, warm=[(r["left"], r["right"]) for r in merges.orderBy("rank").collect()])
+    counts = old.agg(F.count("*").alias("n_old")).crossJoin(new.agg(F.count("*").alias("n_new")))  # one row each
+    return counts.crossJoin(prefix_check(old, new, "id", "token"))
