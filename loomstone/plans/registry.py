@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomstone.plans import codec, files, metrics, packing, relational, representations, results, schedule, sources, streams, text, vectors
+from loomstone.plans import codec, files, language, metrics, packing, relational, representations, results, schedule, sources, streams, text, vectors
 
-MODULES = (text, metrics, packing, codec, representations, relational, schedule, results, sources, files, vectors, streams)
+MODULES = (text, metrics, packing, codec, representations, relational, schedule, results, sources, files, vectors, streams, language)
 
 QUERIES = {name: f for m in MODULES for name, f in m.plans.queries.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.plans.oracles.items()}
