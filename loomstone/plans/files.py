@@ -225,3 +225,41 @@ def manifest_of_key(spark, sf):
     for r in table(spark, sf, "region").collect():  # 5 rows
         sinks.write_manifest(spark, f"{path}/k{r['r_regionkey']}.json", f"k{r['r_regionkey']}", {"name": r["r_name"]})
     return spark.read.schema("key string, settings struct<name:string>").json(path).select("key", "settings.name")
+
+
+@plans.add("wave_durations", "SELECT user_id::VARCHAR AS name, count(*) * 50 AS frames, (8000 + user_id % 3 * 4000)::INT AS rate, round(count(*) * 50 / (8000 + user_id % 3 * 4000)::DOUBLE, 9) AS seconds, 44::BIGINT AS bytes_read FROM events GROUP BY user_id")
+def wave_durations(spark, sf):
+    """Sound files, one a user, written by executors; their durations from headers alone, with the bytes looked at."""
+    from loomstone.sources import wave
+
+    path = scratch(spark, "files-wave")
+    played = table(spark, sf, "events").groupBy("user_id").agg(F.flatten(F.collect_list(F.array_repeat(F.coalesce(F.col("value"), F.lit(0.0)) / 1000, 50))).alias("x"))
+    wave.write_waves(played.withColumn("rate", 8000 + F.pmod("user_id", F.lit(3)) * 4000), path, "user_id", "x", "rate").write.format("noop").mode("overwrite").save()
+    found = wave.read_headers(spark, path)
+    return found.select(F.regexp_extract("path", r"([^/]+)\.wav$", 1).alias("name"), "frames", "rate", F.round("seconds", 9).alias("seconds"), (F.col("bytes_read")).alias("bytes_read"))
+
+
+@plans.add("resumed_build", r"SELECT doc_id, len(regexp_extract_all(lower(coalesce(text, '')), '\S+')) AS n_words FROM documents")
+def resumed_build(spark, sf):
+    """Work on shards that is broken off after two batches, taken up again and checked to be complete."""
+    from loomstone.functions.text import words
+    from loomstone.streaming import resumable
+
+    path = scratch(spark, "build")
+    resumable.lay_out(table(spark, sf, "documents").select("doc_id", "text"), path, "doc_id", 12)
+    count = lambda rows: rows.select("doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words"), "shard")
+    resumable.run(spark, path, count, each=2, most=2)
+    resumable.run(spark, path, count, each=6)
+    return resumable.finish(spark, path)
+
+
+@plans.add("published_versions", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
+def published_versions(spark, sf):
+    """A table published in two versions, the second computed from the first, read through its pointer."""
+    from loomstone.sources.published import Published
+
+    events = table(spark, sf, "events")
+    place = Published(spark, scratch(spark, "published"))
+    first = place.replace(events.where("event_type = 'view'"))
+    place.replace(place.read().unionByName(events.where("event_type <> 'view'")), first)
+    return place.read().groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
