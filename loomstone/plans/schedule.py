@@ -152,3 +152,25 @@ def smoothed_minimum(spark, sf):
 def worker_seeds(spark, sf):
     r = F.col("user_id") % 8
     return table(spark, sf, "events").select("event_id", M.worker_seed(F.col("event_id"), r, 1).alias("loader"), M.worker_seed(F.lit(42).cast("long"), r, 999).alias("rank_"), F.round(M.churn_amount((F.col("event_id") % 8) * 0.13, F.col("event_id") % 512), 6).alias("churn"))
+
+
+_POINTS = (0.0, 0.01, 0.05, 0.5, 0.95, 0.99, 0.999, 1.0)
+
+
+@plans.add("value_percentiles", " UNION ALL ".join(f"SELECT event_type, {p}::DOUBLE AS point, round(quantile_cont(value, {p}), 9) AS value FROM events GROUP BY 1" for p in _POINTS))
+def value_percentiles(spark, sf):
+    """Exact percentiles of groups of any size, by histograms that are refined."""
+    from loomstone.operators.ranges import percentiles
+
+    found = percentiles(table(spark, sf, "events"), "value", ["event_type"], list(_POINTS))
+    return found.select("event_type", "point", F.round("value", 9).alias("value"))
+
+
+@plans.add("uneven_bins", "WITH e AS (SELECT edge, row_number() OVER (ORDER BY edge) - 1 AS bin FROM (SELECT DISTINCT o_totalprice::DOUBLE / 4 AS edge FROM orders)) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, e.edge, coalesce(e.bin, -1)::BIGINT AS bin FROM lineitem l ASOF LEFT JOIN e ON l.l_extendedprice::DOUBLE > e.edge")
+def uneven_bins(spark, sf):
+    """The bin of every price between edges that are as many as there are orders."""
+    from loomstone.operators.ranges import place_between
+
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    edges = table(spark, sf, "orders").select((F.col("o_totalprice").cast("double") / 4).alias("x"))
+    return place_between(rows, "l_extendedprice", edges, "x").drop("l_extendedprice")
