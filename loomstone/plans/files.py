@@ -16,11 +16,11 @@ plans = Plans()
 _STRIP = r"regexp_replace({}, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g')"
 
 
-@plans.add("lines_of_files", f"WITH l AS (SELECT unnest(string_split(text, chr(10))) AS v FROM documents WHERE NOT contains(text, chr(13))) SELECT md5({_STRIP.format('v')}) AS digest, count(*) AS n FROM l WHERE {_STRIP.format('v')} <> '' GROUP BY 1")
+@plans.add("lines_of_files", f"WITH l AS (SELECT unnest(string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10))) AS v FROM documents) SELECT md5({_STRIP.format('v')}) AS digest, count(*) AS n FROM l WHERE {_STRIP.format('v')} <> '' GROUP BY 1")
 def lines_of_files(spark, sf):
-    """Text files read as stripped lines that are not blank."""
+    """Text files read as stripped lines that are not blank; a line ends with either mark or both."""
     path = scratch(spark, "files-lines")
-    table(spark, sf, "documents").where(~F.contains("text", F.lit("\r"))).select("text").write.text(path)
+    table(spark, sf, "documents").select("text").write.text(path)
     return readers.read(spark, "lines", path).groupBy(F.md5("text").alias("digest")).agg(F.count("*").alias("n"))
 
 

@@ -243,15 +243,15 @@ def weighted_correction_rates(spark, sf):
 
 
 @plans.add("logit_memory", """
-WITH c AS (SELECT * FROM (VALUES ('a', 512, 128, 30522), ('b', 128, 1024, 65536), ('c', 64, 1000, 250773)) t(name, b, t, v)), w AS (SELECT *, ceil(log2(v))::INT AS m FROM c)
-SELECT name, b::BIGINT * t * v AS token_logits, b::BIGINT * t * m AS bit_logits, round(b::BIGINT * t * v * 2 / 1073741824.0, 6) AS token_gib, round(b::BIGINT * t * m * 2 / 1048576.0, 6) AS bit_mib, round(v / m, 6) AS reduction FROM w""")
+WITH w AS (SELECT p_partkey, p_size::BIGINT AS b, (p_partkey % 8 + 1) * 128 AS t, p_partkey + 1 AS v, length(bin(p_partkey))::INT AS m FROM part)
+SELECT p_partkey, b * t * v AS token_logits, b * t * m AS bit_logits, round(b * t * v * 2 / 1073741824.0, 6) AS token_gib, round(b * t * m * 2 / 1048576.0, 6) AS bit_mib, round(v / m, 6) AS reduction FROM w""")
 def logit_memory(spark, sf):
-    """Logits per step and their memory at two bytes, for token and bit outputs."""
+    """Logits per step and their memory at two bytes, for token and bit outputs, of a table of settings."""
     from loomstone.functions.codecs import bits_for
 
-    c = spark.createDataFrame([("a", 512, 128, 30522), ("b", 128, 1024, 65536), ("c", 64, 1000, 250773)], "name string, b long, t long, v long").withColumn("m", bits_for(F.col("v")))
+    c = table(spark, sf, "part").select("p_partkey", F.col("p_size").cast("long").alias("b"), ((F.col("p_partkey") % 8 + 1) * 128).alias("t"), (F.col("p_partkey") + 1).alias("v")).withColumn("m", bits_for(F.col("v")))
     n = F.col("b") * F.col("t")
-    return c.select("name", (n * F.col("v")).alias("token_logits"), (n * F.col("m")).alias("bit_logits"), F.round(n * F.col("v") * 2 / 1073741824.0, 6).alias("token_gib"), F.round(n * F.col("m") * 2 / 1048576.0, 6).alias("bit_mib"), F.round(F.col("v") / F.col("m"), 6).alias("reduction"))
+    return c.select("p_partkey", (n * F.col("v")).alias("token_logits"), (n * F.col("m")).alias("bit_logits"), F.round(n * F.col("v") * 2 / 1073741824.0, 6).alias("token_gib"), F.round(n * F.col("m") * 2 / 1048576.0, 6).alias("bit_mib"), F.round(F.col("v") / F.col("m"), 6).alias("reduction"))
 
 
 @plans.add("log_binned_means", """

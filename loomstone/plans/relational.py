@@ -109,13 +109,14 @@ def positional_pairs(spark, sf):
 
 
 @plans.add("sweep_product", """
-SELECT c, s, g, n, CASE WHEN s = 'heun' THEN ch ELSE 0 END AS churn FROM (VALUES ('a'), ('b')) c(c), (VALUES ('heun'), ('ddim')) s(s), (VALUES (1.0::DOUBLE), (2.5::DOUBLE)) g(g), (VALUES (32), (64), (128)) n(n), (VALUES (0.0::DOUBLE), (8.0::DOUBLE)) x(ch) WHERE s = 'heun' OR ch = 0""")
+SELECT c, s, g, n, CASE WHEN s = 'heun' THEN ch ELSE 0 END AS churn FROM (SELECT s_name AS c FROM supplier) c, (VALUES ('heun'), ('ddim')) s(s), (VALUES (1.0::DOUBLE), (2.5::DOUBLE)) g(g), (VALUES (32), (64), (128)) n(n), (VALUES (0.0::DOUBLE), (8.0::DOUBLE)) x(ch) WHERE s = 'heun' OR ch = 0""")
 def sweep_product(spark, sf):
-    """Product of short parameter lists; parameters that a sampler lacks do not multiply its rows."""
+    """Product of a table's rows and short parameter lists; parameters that a sampler lacks do not multiply its rows."""
     from loomstone.operators.results import sweep
 
-    rows = sweep(spark, {"c": ["a", "b"], "s": ["heun", "ddim"], "g": [1.0, 2.5], "n": [32, 64, 128], "churn": [0.0, 8.0]})
-    return rows.where((F.col("s") == "heun") | (F.col("churn") == 0)).withColumn("n", F.col("n").cast("int"))
+    lists = sweep(spark, {"s": ["heun", "ddim"], "g": [1.0, 2.5], "n": [32, 64, 128], "churn": [0.0, 8.0]})
+    lists = lists.where((F.col("s") == "heun") | (F.col("churn") == 0)).withColumn("n", F.col("n").cast("int"))
+    return table(spark, sf, "supplier").select(F.col("s_name").alias("c")).crossJoin(F.broadcast(lists))  # 18 rows
 
 
 @plans.add("missing_keys", "SELECT o_custkey AS k FROM orders EXCEPT SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING'")
@@ -173,15 +174,15 @@ def assigned_ranks(spark, sf):
     return ranks(p, ["free", "p_retailprice", "p_partkey"], "new_id").select("p_partkey", "new_id")
 
 
-@plans.add("neighbourhoods", "WITH r AS (SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice, p_partkey) - 1 AS r FROM part), c AS (SELECT r AS probe FROM r WHERE p_partkey % 100 = 7) SELECT probe::BIGINT AS probe, string_agg(p_partkey::VARCHAR, ',' ORDER BY r) AS around FROM c JOIN r ON r BETWEEN probe - 3 AND probe + 3 GROUP BY 1")
+@plans.add("neighbourhoods", "WITH r AS (SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice, p_partkey) - 1 AS r FROM part) SELECT c.r::BIGINT AS probe, string_agg(r.p_partkey::VARCHAR, ',' ORDER BY r.r) AS around FROM r c JOIN r ON r.r BETWEEN c.r - 3 AND c.r + 3 GROUP BY 1")
 def neighbourhoods(spark, sf):
-    """What stands within three places of a probe: each row is sent to the seven places it can be near to."""
+    """What stands within three places of every row: each is sent to the seven places it can be near to."""
     from loomstone.operators.ordering import ranks
 
     r = ranks(table(spark, sf, "part").select("p_partkey", "p_retailprice"), ["p_retailprice", "p_partkey"], "r")
-    probes = r.where(F.col("p_partkey") % 100 == 7).select(F.col("r").alias("probe"))
-    near = r.select("p_partkey", "r", F.explode(F.sequence(F.col("r") - 3, F.col("r") + 3)).alias("probe")).join(probes, "probe")
-    return near.groupBy("probe").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "p_partkey"))), lambda x: x["p_partkey"].cast("string")), ",").alias("around"))
+    near = r.select("p_partkey", "r", F.explode(F.sequence(F.col("r") - 3, F.col("r") + 3)).alias("probe"))
+    around = near.groupBy("probe").agg(F.array_sort(F.collect_list(F.struct("r", "p_partkey"))).alias("x")).where(F.exists("x", lambda x: x["r"] == F.col("probe")))
+    return around.select("probe", F.array_join(F.transform("x", lambda x: x["p_partkey"].cast("string")), ",").alias("around"))
 
 
 @plans.add("last_entries", "SELECT event_id, value FROM events ORDER BY event_id DESC LIMIT 256")

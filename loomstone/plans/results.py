@@ -82,11 +82,12 @@ def work_list(spark, sf):
     return R.work_list(specs, d.select(F.col("source").alias("checkpoint")).distinct(), cached, F.concat_ws("|", "checkpoint", "s", "n"))
 
 
-@plans.add("checked_sweep", "SELECT s, n, s || '-' || n AS tag, s = 'heun' AS stochastic, CASE WHEN s = 'heun' THEN 8.0 END::DOUBLE AS s_churn FROM (VALUES ('heun'), ('ddim')) a(s), (VALUES (32), (64), (128)) b(n)")
+@plans.add("checked_sweep", "SELECT c, s, n, c || '-' || s || '-' || n AS tag, s = 'heun' AS stochastic, CASE WHEN s = 'heun' THEN 8.0 END::DOUBLE AS s_churn FROM (SELECT s_name AS c FROM supplier), (VALUES ('heun'), ('ddim')) a(s), (VALUES (32), (64), (128)) b(n)")
 def checked_sweep(spark, sf):
-    """A sweep whose tags are unique and whose stochastic runs have churn; anything else raises."""
+    """A sweep over a table's rows whose tags are unique and whose stochastic runs have churn; anything else raises."""
     g = R.sweep(spark, {"s": ["heun", "ddim"], "n": [32, 64, 128]}).withColumn("n", F.col("n").cast("int"))
-    g = g.select("s", "n", F.concat_ws("-", "s", "n").alias("tag"), (F.col("s") == "heun").alias("stochastic"), F.when(F.col("s") == "heun", 8.0).alias("s_churn"))
+    g = table(spark, sf, "supplier").select(F.col("s_name").alias("c")).crossJoin(F.broadcast(g))  # six rows
+    g = g.select("c", "s", "n", F.concat_ws("-", "c", "s", "n").alias("tag"), (F.col("s") == "heun").alias("stochastic"), F.when(F.col("s") == "heun", 8.0).alias("s_churn"))
     return R.check_unique(R.validate(g), "tag")
 
 

@@ -75,14 +75,14 @@ def truncated_grid(spark, sf):
     return S.truncated_grid(_schedule(spark, sf), _GRID_N, _GRID_LO, _GRID_HI).select("i", F.round("sigma", 6).alias("sigma"))
 
 
-@plans.add("closed_grids", f"""WITH g AS (SELECT i, i / 31.0 AS u FROM (SELECT unnest(range(0, 32)) AS i)), k AS (SELECT i, u, CASE i WHEN 0 THEN {HIGH} WHEN 31 THEN {LOW} ELSE pow(pow({HIGH}, 1 / 7.0) + u * (pow({LOW}, 1 / 7.0) - pow({HIGH}, 1 / 7.0)), 7.0) END AS karras FROM g)
-SELECT i::INT AS i, round(karras, 9) AS karras, round(exp(ln({LOW}) + u * (ln({HIGH}) - ln({LOW}))), 9) AS even_log, round(exp(0.3 + 1.2 * ((ln({LOW}) - 0.3) / 1.2 + u * ((ln({HIGH}) - 0.3) / 1.2 - (ln({LOW}) - 0.3) / 1.2))), 9) AS normal, round(0.25 * karras + 0.75 * exp(ln({LOW}) + u * (ln({HIGH}) - ln({LOW}))), 9) AS blended, round((karras * karras + 0.25) / (karras * karras * 0.25), 6) AS weight FROM k""")
+@plans.add("closed_grids", f"""WITH g AS (SELECT event_id, i, i / 31.0 AS u FROM (SELECT event_id, event_id % 32 AS i FROM events)), k AS (SELECT event_id, i, u, CASE i WHEN 0 THEN {HIGH} WHEN 31 THEN {LOW} ELSE pow(pow({HIGH}, 1 / 7.0) + u * (pow({LOW}, 1 / 7.0) - pow({HIGH}, 1 / 7.0)), 7.0) END AS karras FROM g)
+SELECT event_id, i::INT AS i, round(karras, 9) AS karras, round(exp(ln({LOW}) + u * (ln({HIGH}) - ln({LOW}))), 9) AS even_log, round(exp(0.3 + 1.2 * ((ln({LOW}) - 0.3) / 1.2 + u * ((ln({HIGH}) - 0.3) / 1.2 - (ln({LOW}) - 0.3) / 1.2))), 9) AS normal, round(0.25 * karras + 0.75 * exp(ln({LOW}) + u * (ln({HIGH}) - ln({LOW}))), 9) AS blended, round((karras * karras + 0.25) / (karras * karras * 0.25), 6) AS weight FROM k""")
 def closed_grids(spark, sf):
-    """Levels even in the seventh root, in the logarithm, under a normal logarithm; their blend; loss weights."""
-    g = spark.range(32).select(F.col("id").cast("int").alias("i"))
+    """Levels even in the seventh root, in the logarithm, under a normal logarithm; their blend; loss weights: of one step of 32 for each row."""
+    g = table(spark, sf, "events").select("event_id", (F.col("event_id") % 32).cast("int").alias("i"))
     u = M.unit_grid(F.col("i"), 32)
     k, e = M.karras(F.col("i"), 32, LOW, HIGH), M.log_uniform(u, LOW, HIGH)
-    return g.select("i", F.round(k, 9).alias("karras"), F.round(e, 9).alias("even_log"), F.round(M.log_normal(u, LOW, HIGH, 0.3, 1.2), 9).alias("normal"), F.round(M.blend(k, e, 0.75), 9).alias("blended"), F.round(M.loss_weight(k, 0.5), 6).alias("weight"))
+    return g.select("event_id", "i", F.round(k, 9).alias("karras"), F.round(e, 9).alias("even_log"), F.round(M.log_normal(u, LOW, HIGH, 0.3, 1.2), 9).alias("normal"), F.round(M.blend(k, e, 0.75), 9).alias("blended"), F.round(M.loss_weight(k, 0.5), 6).alias("weight"))
 
 
 @plans.add("churned_levels", "WITH e AS (SELECT event_id, 1e-3 + abs(value) AS s FROM events), g AS (SELECT event_id, s, CASE WHEN s BETWEEN 0.05 AND 50 THEN least(40 / 256.0, sqrt(2) - 1) ELSE 0 END AS g FROM e) SELECT event_id, round(g, 9) AS gamma, round(s * (1 + g), 6) AS raised, round(sqrt(s * s * (1 + g) * (1 + g) - s * s), 5) AS added FROM g")
@@ -115,17 +115,18 @@ def noise_rates(spark, sf):
     )
 
 
-_NFE = """c AS (SELECT f, s, c::BOOLEAN AS c, r::BOOLEAN AS r, t FROM (VALUES ('continuous'), ('discrete')) f(f), (VALUES ('heun'), ('ddim'), ('euler'), ('tweedie'), ('other')) s(s), (VALUES (0), (1)) c(c), (VALUES (0), (1)) r(r), (VALUES (1), (32), (257)) t(t)),
+_NFE = """c AS (SELECT p_partkey, f, s, c::BOOLEAN AS c, r::BOOLEAN AS r, (p_partkey % 257 + 1)::INT AS t FROM part, (VALUES ('continuous'), ('discrete')) f(f), (VALUES ('heun'), ('ddim'), ('euler'), ('tweedie'), ('other')) s(s), (VALUES (0), (1)) c(c), (VALUES (0), (1)) r(r)),
 p AS (SELECT *, CASE WHEN s = 'heun' THEN 2 WHEN s IN ('ddim', 'euler') THEN 1 ELSE 1 END + CASE WHEN s IN ('heun', 'ddim', 'euler') AND c AND r THEN 1 ELSE 0 END AS per, CASE WHEN s IN ('euler', 'tweedie') THEN 1 ELSE 0 END AS fin FROM c),
 n AS (SELECT *, CASE WHEN f = 'discrete' THEN greatest(1, t - fin) ELSE greatest(1, greatest(t - 1, 1) // per) END AS steps FROM p)"""
 
 
-@plans.add("evaluation_counts", f"WITH {_NFE} SELECT f, s, c, r, t, steps::INT AS steps, (CASE WHEN f = 'discrete' THEN steps + fin ELSE per * steps + 1 END)::INT AS actual FROM n")
+@plans.add("evaluation_counts", f"WITH {_NFE} SELECT p_partkey, f, s, c, r, t, steps::INT AS steps, (CASE WHEN f = 'discrete' THEN steps + fin ELSE per * steps + 1 END)::INT AS actual FROM n")
 def evaluation_counts(spark, sf):
-    """Steps that a budget of evaluations buys, and the evaluations they take."""
+    """Steps that each row's budget of evaluations buys by every sampler, and the evaluations they take."""
     from loomstone.operators.results import sweep
 
-    g = sweep(spark, {"f": ["continuous", "discrete"], "s": ["heun", "ddim", "euler", "tweedie", "other"], "c": [False, True], "r": [False, True], "t": [1, 32, 257]}).withColumn("t", F.col("t").cast("int"))
+    g = sweep(spark, {"f": ["continuous", "discrete"], "s": ["heun", "ddim", "euler", "tweedie", "other"], "c": [False, True], "r": [False, True]})
+    g = table(spark, sf, "part").select("p_partkey", (F.col("p_partkey") % 257 + 1).cast("int").alias("t")).crossJoin(F.broadcast(g))  # 40 rows
     g = g.withColumn("steps", M.steps_for(F.col("f"), F.col("s"), F.col("t"), F.col("c"), F.col("r"), F.lit(True)).cast("int"))
     return g.withColumn("actual", M.evaluations(F.col("f"), F.col("s"), F.col("steps"), F.col("c"), F.col("r"), F.lit(True)).cast("int"))
 

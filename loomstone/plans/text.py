@@ -108,17 +108,21 @@ def text_probe(spark, sf):
     return d.groupBy("lang").agg(F.count("*").alias("n"), F.sum("empty").alias("n_empty"), F.sum("marks").alias("n_marks"), *stats)
 
 
+_TASKS = ("text_to_speech", "speech_to_text", "continuation", "unconditional")
+
+
 @plans.add("position_masks", """
-WITH t AS (SELECT unnest(['text_to_speech', 'speech_to_text', 'continuation', 'unconditional']) AS task), p AS (SELECT unnest(range(0, 1000)) AS pos)
-SELECT task, pos, CASE task WHEN 'text_to_speech' THEN pos < 200 WHEN 'speech_to_text' THEN pos >= 168 WHEN 'continuation' THEN pos >= 168 AND pos < 275 ELSE false END AS given,
-  pos < greatest(least(40 * 18, 1000), 0) AS prefix FROM t, p""")
+WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, ['text_to_speech', 'speech_to_text', 'continuation', 'unconditional'][(l_suppkey % 4 + 1)::INT] AS task, l_partkey % 1000 AS pos FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, task, CASE task WHEN 'text_to_speech' THEN pos < 200 WHEN 'speech_to_text' THEN pos >= 168 WHEN 'continuation' THEN pos >= 168 AND pos < 275 ELSE false END AS given,
+  pos < greatest(least(l_linenumber * 18 * 8, 1000), 0) AS prefix FROM t""")
 def position_masks(spark, sf):
-    """Which places of a multimodal sequence are given, by task, and a fixed prefix of 40 tokens of 18 bits."""
+    """Whether a row's place in a multimodal sequence is given, by its task, and whether a prefix of tokens of 18 bits holds it."""
     from loomstone.operators.packing import task_given
 
-    tasks = spark.createDataFrame([(t,) for t in ("text_to_speech", "speech_to_text", "continuation", "unconditional")], "task string")
-    rows = tasks.select("task", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(999).cast("long"))).alias("pos"))
-    return rows.select("task", "pos", task_given(F.col("task"), F.col("pos"), 168, 32, 75).alias("given"), (F.col("pos") < F.greatest(F.least(F.lit(40 * 18), F.lit(1000)), F.lit(0))).alias("prefix"))
+    task = F.element_at(F.array(*[F.lit(t) for t in _TASKS]), (F.col("l_suppkey") % 4 + 1).cast("int"))
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", task.alias("task"), (F.col("l_partkey") % 1000).alias("pos"))
+    prefix = F.col("pos") < F.greatest(F.least(F.col("l_linenumber") * 18 * 8, F.lit(1000)), F.lit(0))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "task", task_given(F.col("task"), F.col("pos"), 168, 32, 75).alias("given"), prefix.alias("prefix"))
 
 
 @plans.add("fitted_ids", r"""
