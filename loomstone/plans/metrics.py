@@ -288,3 +288,17 @@ def top_probabilities(spark, sf):
     a = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.col("l_quantity") / 10 / 0.7).alias("x"))
     a = a.select("l_orderkey", M.keep_top(F.col("x"), 3).alias("z")).select("l_orderkey", "z", M.softmax(F.col("z")).alias("p"))
     return a.select("l_orderkey", F.round(M.log_sum_exp(F.col("z")), 9).alias("log_total"), F.round(F.array_max("p"), 9).alias("largest"), F.size(F.filter("z", lambda v: v > -1e9)).cast("long").alias("n_kept"))
+
+
+@plans.add("sketched_distinct_2")
+def sketched_distinct_2(spark, sf):
+    """Distinct pairs of words of each language, estimated from sketches that were stored source by source."""
+    from loomstone.functions.text import words
+    from loomstone.operators import sketches
+    from loomstone.session import scratch
+
+    path = scratch(spark, "sketches")
+    docs = table(spark, sf, "documents")
+    made = sketches.ngram_sketches(docs.select("lang", "source", words(F.col("text")).alias("w")), F.col("w"), 2, ["lang", "source"])
+    sketches.add_sketches(made, path)
+    return sketches.distinctness_of_sketches(spark.read.parquet(path), 2, ["lang"])

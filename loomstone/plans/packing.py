@@ -146,3 +146,23 @@ def pending_rows(spark, sf):
 def worker_totals(spark, sf):
     e = table(spark, sf, "events")
     return e.groupBy(F.pmod("user_id", F.lit(8)).alias("worker")).agg(F.count("*").alias("n"), F.sum((F.col("value") > 100).cast("long")).alias("n_cut"), F.round(F.sum("value"), 4).alias("seconds"))
+
+
+@plans.add("collated_batches", r"""
+WITH d AS (SELECT doc_id, doc_id % 8 AS bucket, list_transform(regexp_extract_all(lower(coalesce(text, '')), '\S+'), lambda w: length(w)) AS ids FROM documents),
+r AS (SELECT *, (row_number() OVER (PARTITION BY bucket ORDER BY len(ids), doc_id) - 1) // 16 AS batch FROM d), m AS (SELECT *, max(len(ids)) OVER (PARTITION BY bucket, batch) AS width FROM r)
+SELECT bucket, batch::INT AS batch, string_agg(doc_id::VARCHAR, ',' ORDER BY len(ids), doc_id) AS keys, string_agg(len(ids)::VARCHAR, ',' ORDER BY len(ids), doc_id) AS lengths,
+  md5(string_agg(array_to_string(list_concat(ids, list_transform(range(0, width - len(ids)), lambda i: -1)), ','), ';' ORDER BY len(ids), doc_id)) AS ids, sum(len(ids))::BIGINT AS n_real, any_value(width)::INT AS width FROM m GROUP BY 1, 2""")
+def collated_batches(spark, sf):
+    """Documents as batches of sixteen of similar length, filled up, with lengths and masks: a table function called by SQL."""
+    from loomstone.functions.text import words
+    from loomstone.operators import collation
+
+    collation.register(spark)
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 8).alias("bucket"), F.transform(words(F.col("text")), lambda w: F.length(w)).alias("ids"))
+    b = spark.sql("SELECT * FROM collate(16, -1, TABLE(SELECT *, size(ids) AS n FROM {rows}) PARTITION BY bucket ORDER BY (n, id))", rows=d)
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return b.select(
+        "bucket", "batch", joined("keys").alias("keys"), joined("lengths").alias("lengths"), F.md5(F.array_join(F.transform("ids", joined), ";")).alias("ids"),
+        F.aggregate(F.flatten("mask"), F.lit(0).cast("long"), lambda a, x: a + x).alias("n_real"), F.array_max(F.transform("mask", F.size)).alias("width"),
+    )

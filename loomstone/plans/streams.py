@@ -84,3 +84,23 @@ def tumbling_windows(spark, sf):
 def session_windows(spark, sf):
     """Beyond the evaluated pipelines: sessions that end after thirty quiet minutes."""
     return S.session_counts(table(spark, sf, "events"), "ts", "30 minutes", "user_id")
+
+
+@plans.add("stream_progress", "SELECT 'counted' AS name, count(*)::BIGINT AS n_rows, true AS has_batches FROM events")
+def stream_progress(spark, sf):
+    """Rows a batch of a stream, as a listener wrote them to a table while it ran: they add up to the input."""
+    from loomstone.streaming.progress import ProgressTable, progress_rows
+
+    path = scratch(spark, "progress")
+    listener = ProgressTable(spark, f"{path}/rows")
+    spark.streams.addListener(listener)
+    try:
+        counted = S.running_best(_events(spark, sf), "event_type", "value")
+        writer = counted.writeStream.queryName("counted").outputMode("complete").foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/out-{number}"))
+        query = writer.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+        listener.wait(str(query.runId))
+    finally:
+        spark.streams.removeListener(listener)
+    rows = progress_rows(spark, f"{path}/rows")
+    return rows.groupBy("name").agg(F.sum("rows").alias("n_rows"), (F.count_distinct("batch") > 0).alias("has_batches"))
