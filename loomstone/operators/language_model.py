@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomstone.operators.durable import Written
+
 #: Stands for a word before the first; no word is empty.
 NONE = ""
 
@@ -39,8 +41,8 @@ def _grams(words: Column) -> Column:
 
 def count_model(docs: DataFrame, words: Column, discount: float = 0.75) -> Model:
     """Counts of all words of all texts. One table of distinct triples is aggregated from the texts, before the shuffle
-    first; all others come from it. A place without two (one) words before counts in no triple (pair)."""
-    triples = docs.select(F.explode(_grams(words)).alias("g")).select("g.*").groupBy("u", "v", "w").agg(F.count("*").alias("n"))
+    first, and written; all others come from it. A place without two (one) words before counts in no triple (pair)."""
+    triples = Written(docs.select(F.explode(_grams(words)).alias("g")).select("g.*").groupBy("u", "v", "w").agg(F.count("*").alias("n")), "triples").df
     pairs = triples.where(F.col("v") != NONE).groupBy("v", "w").agg(F.sum("n").alias("n"))
     singles = triples.groupBy("w").agg(F.sum("n").alias("n"))
     full = triples.where(F.col("u") != NONE)
@@ -91,6 +93,7 @@ def score_texts(docs: DataFrame, words: Column, model: Model, by: list[str], win
     Tokens are counted by group and trigram before they are shuffled; then each trigram's score, computed once, is joined.
     """
     grams = docs.select(*by, F.explode(window_grams(words, window, stride, first)).alias("g")).select(*by, "g.*").groupBy(*by, "u", "v", "w").agg(F.count("*").alias("m"))
+    grams = Written(grams, "grams").df
     scored = grams.join(log_probabilities(grams, model), ["u", "v", "w"])
     return scored.groupBy(*by).agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("nll")).alias("nll"))
 

@@ -250,17 +250,18 @@ def _merge_round(table: pa.Table, known: dict[tuple[str, str], int], bound: tupl
     return out
 
 
-def learn_merges(docs: DataFrame, words: Column, n: int, least: int = 2, warm: list[tuple[str, str]] | None = None, pairs: int = PAIRS, most_symbols: int = SYMBOLS) -> DataFrame:
+def learn_merges(docs: DataFrame, words: Column | None, n: int, least: int = 2, warm: list[tuple[str, str]] | None = None, pairs: int = PAIRS, most_symbols: int = SYMBOLS) -> DataFrame:
     """``rank, left, right, n`` of ``n`` merges: the most frequent pair each time, ties by left and right symbol.
 
-    ``warm`` lists merges of an earlier run, which are applied first, in one pass, and not counted again.
+    ``warm`` lists merges of an earlier run, which are applied first, in one pass, and not counted again. Without ``words``,
+    ``docs`` has ``symbols, n`` already.
 
     Rounds of many merges give the merges of one at a time (see the module). A round takes to the driver the first
     ``2 * pairs`` pairs at most and fragments of ``most_symbols`` symbols at most, fewer pairs where those hold more; so what
     it needs does not grow with the words, of which only those that change send new counts of pairs.
     """
     spark = docs.sparkSession
-    table = Written(word_symbols(docs, words), "words")
+    table = Written(docs.select("symbols", "n") if words is None else word_symbols(docs, words), "words")
     if warm:
         table.replace(_apply(table.df, [tuple(m) for m in warm]))
     counts = Written(pair_frequencies(table.df), "pairs")
@@ -289,8 +290,8 @@ def learn_merges(docs: DataFrame, words: Column, n: int, least: int = 2, warm: l
         rows.drop()
         found += [(len(found) + k, *m) for k, m in enumerate(made)]
         symbols |= {a + b for a, b, _ in made}
-        if size <= most_symbols // 8:
-            width = min(pairs, width * 4)
+        if size <= most_symbols // 4:
+            width = min(pairs, width * 2)
         if len(found) < n:
             table.replace(_apply(table.df, [(a, b) for a, b, _ in made]))
             changed = table.df.where("before is not null")
@@ -321,14 +322,16 @@ def train_vocabulary(docs: DataFrame, words: Column, size: int, alphabet: list[s
     token which is there already adds none. Alphabet, marks and merges are bounded by ``size``.
     """
     spark = docs.sparkSession
-    seen = word_symbols(docs, words).select(F.explode("symbols").alias("c")).distinct()
+    table = Written(word_symbols(docs, words), "distinct-words")
+    seen = table.df.select(F.explode("symbols").alias("c")).distinct()
     forced = set(alphabet or [])
     room = max(0, size - len(specials) - len(forced))
     singles = [r["c"] for r in seen.where(~F.col("c").isin(*forced) if forced else F.lit(True)).orderBy("c").limit(room).collect()]
     tokens = dict.fromkeys([*specials, *sorted(forced | set(singles))])
     warm = list(warm or [])[: max(0, size - len(tokens))]
     tokens |= dict.fromkeys(a + b for a, b in warm)
-    learned = learn_merges(docs, words, max(0, size - len(tokens)), least, warm=warm)
+    learned = learn_merges(table.df, None, max(0, size - len(tokens)), least, warm=warm)
+    table.drop()
     new = [(r["left"], r["right"], r["n"]) for r in learned.orderBy("rank").collect()]
     tokens |= dict.fromkeys(a + b for a, b, _ in new)
     merges = [(k, a, b, n) for k, (a, b, n) in enumerate([*((a, b, None) for a, b in warm), *new])]
