@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from loomstone.operators.durable import Written
 
 #: Pairs that a round looks at, and symbols of all its fragments: what the driver holds at most.
-PAIRS, SYMBOLS = 1 << 16, 1 << 22
+PAIRS, SYMBOLS = 1 << 15, 1 << 21
 
 
 def word_symbols(docs: DataFrame, words: Column) -> DataFrame:
