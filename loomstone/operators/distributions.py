@@ -59,9 +59,12 @@ def frechet_distance(df: DataFrame, group: str, vector: str, size: int, first, s
     return df.sparkSession.createDataFrame([(first, second, max(0.0, value))], f"first {dict(df.dtypes)[group]}, second {dict(df.dtypes)[group]}, distance double")
 
 
-def frontier_score(df: DataFrame, group: str, vector: str, first, second, clusters: int = 16, scale: float = 5.0, seed: int = 7, components: int = 0) -> DataFrame:
+def frontier_score(df: DataFrame, group: str, vector: str, first, second, clusters: int | None = None, scale: float = 5.0, seed: int = 7, components: int = 0, most: int = 500) -> DataFrame:
     """Area under the divergence frontier of two groups, quantised by k-means over both.
 
+    Without ``clusters`` there is one for every ten vectors of the smaller group, from 2 to ``most``, which bounds the
+    centres that a task holds. Groups of equal histograms score 1; a group without vectors is an error.
+
     With ``components``, vectors are first projected on so many principal components of both groups. That and the
     clustering are distributed; the histograms that come to the driver have one number per cluster.
     """
@@ -73,6 +76,10 @@ def frontier_score(df: DataFrame, group: str, vector: str, first, second, cluste
         from pyspark.ml.feature import PCA
 
         rows = PCA(k=components, inputCol="features", outputCol="projected").fit(rows).transform(rows).select(group, F.col("projected").alias("features"))
+    sizes = {r[0]: r[1] for r in rows.groupBy(group).agg(F.count("*")).collect()}
+    if len(sizes) < 2:
+        raise ValueError(f"no vectors of {first!r} or of {second!r}")
+    clusters = clusters or max(2, min(most, min(sizes.values()) // 10))
     model = KMeans(k=clusters, seed=seed, maxIter=30).fit(rows)
     counts = model.transform(rows).groupBy(group, "prediction").agg(F.count("*").alias("n")).collect()
     hist = {g: np.zeros(clusters) for g in (first, second)}
@@ -89,6 +96,7 @@ def frontier_score(df: DataFrame, group: str, vector: str, first, second, cluste
         r = w * p + (1 - w) * q
         points.append((np.exp(-scale * divergence(q, r)), np.exp(-scale * divergence(p, r))))
     points.append((1.0, 0.0))
-    x, y = np.array(sorted(points)).T
+    # Where groups agree, points share an x; the frontier falls there, so the higher ones come first.
+    x, y = np.array(sorted(points, key=lambda p: (p[0], -p[1]))).T
     area = float(((x[1:] - x[:-1]) * (y[1:] + y[:-1]) / 2).sum())
     return df.sparkSession.createDataFrame([(area,)], "score double")

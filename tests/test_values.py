@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import math
+import struct
 from collections import Counter
 
 import numpy as np
+import pytest
+import xxhash
 
 from loomstone.functions import codecs as C
-from loomstone.operators import merges
+from loomstone.operators import distributions, merges
 from loomstone.plans.registry import QUERIES
 
 
@@ -126,3 +129,82 @@ def test_start_positions(spark):
 def test_safe_decode(spark):
     rows = spark.createDataFrame([(b"ok",), (None,)], "b binary")
     assert [r.x for r in rows.select(C.safe_decode(rows.b).alias("x")).collect()] == ["ok", "<unk>"]
+
+
+def _general(v):
+    return "none" if v is None else f"{v:.8g}"
+
+
+def test_stochastic_tags(spark, sf):
+    values = {r.event_id: r.value for r in _table(spark, sf, "events").collect()}
+    got = {r.event_id: r.suffix for r in QUERIES["stochastic_tags"](spark, sf).collect()}
+    assert got.keys() == values.keys() and len({v for v in got.values() if v}) > 100
+    for i, v in values.items():
+        low = None if v is None else v / 1000
+        window = ("-q0.1_0.9", f"-t{_general(low)}_none", "-wm-full")[i % 3]
+        assert got[i] == (f"stoch-ch{_general(v)}-n1.003{window}" if i % 2 == 0 else None)
+
+
+def test_cache_keys(spark, sf):
+    rows = {r.event_id: r for r in _table(spark, sf, "events").collect()}
+    given = ["ckpt", "split", "N", "steps", "mb", "sigma_max", "ema", "seed", "sampler"]
+    for r in QUERIES["cache_keys"](spark, sf).collect():
+        kind, v = rows[r.event_id].event_type, rows[r.event_id].value
+        want = [kind, "test", r.event_id, r.event_id % 256, 8, _general(v), 1, 42, "heun"]
+        parts = dict(p.split("=", 1) for p in r.key.split("|"))
+        assert r.key.startswith("|".join(f"{a}={b}" for a, b in zip(given, map(str, want), strict=True)) + "|term=none|gs=")
+        assert parts["gs"] == _general(None if v is None else v / 3)
+        assert len(parts) == 22 and all(p == "none" for n, p in parts.items() if n not in (*given, "gs"))
+        assert r.path == f"{kind.replace('-', '_')}/test/{hashlib.sha256(r.key.encode()).hexdigest()}/tag.jsonl"
+
+
+def test_shuffled_similarity(spark, sf):
+    vectors = {r.vec_id: np.array(r.embedding, float) / np.linalg.norm(r.embedding) for r in _table(spark, sf, "embeddings").collect()}
+
+    def place(i, seed):
+        h = xxhash.xxh64_intdigest(struct.pack("<i", seed), xxhash.xxh64_intdigest(struct.pack("<q", i), 42))
+        return h - (1 << 64) if h >> 63 else h, i
+
+    means = []
+    for seed in (1, 2, 3):
+        order = sorted(vectors, key=lambda i: place(i, seed))
+        means.append(np.mean([vectors[a] @ vectors[b] for a, b in zip(order, order[1:], strict=False)]))
+    got = QUERIES["shuffled_similarity"](spark, sf).head()
+    assert abs(got.mean - np.mean(means)) < 1e-6 and abs(got.spread - np.std(means)) < 1e-6
+
+
+def test_word_vectors_cover_the_vocabulary(spark, sf):
+    want = {w for r in _table(spark, sf, "documents").collect() for w in (r.text or "").lower().split()}
+    rows = QUERIES["word_vectors"](spark, sf).collect()
+    assert len(rows) == len({r.word for r in rows}) and {r.word.lower() for r in rows} == want
+    assert all(len(r.vector) == 64 and np.isfinite(r.vector.toArray()).all() for r in rows)
+
+
+def test_frontier_score_of_known_histograms(spark):
+    """Two far clusters, so that the histograms are known: equal ones score 1, disjoint and mixed ones by the formula."""
+
+    def score(first, second):
+        place = lambda c, k: [100.0 * c + 0.01 * k, -50.0 * c]
+        rows = [(g, place(c, k)) for g, counts in enumerate((first, second)) for c, n in enumerate(counts) for k in range(n)]
+        return distributions.frontier_score(spark.createDataFrame(rows, "g int, v array<double>"), "g", "v", 0, 1, clusters=2).head().score
+
+    def formula(first, second):
+        p, q = (np.array(c, float) / sum(c) for c in (first, second))
+        kl = lambda a, b: sum(x * math.log(x / y) for x, y in zip(a, b, strict=True) if x)
+        # From the second group (x = 1) to the first (x = 0): the order of the frontier itself.
+        mixed = [w * p + (1 - w) * q for w in (k / 100 for k in range(99, 0, -1))]
+        at = [(0.0, 1.0), *((math.exp(-5 * kl(q, r)), math.exp(-5 * kl(p, r))) for r in mixed), (1.0, 0.0)]
+        return sum((b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(at, at[1:], strict=False))
+
+    assert abs(score((20, 20), (30, 30)) - 1) < 1e-9
+    for pair in (((40, 0), (0, 40)), ((30, 10), (5, 35))):
+        assert abs(score(*pair) - formula(*pair)) < 1e-9
+    assert formula((40, 0), (0, 40)) < 0.02
+
+
+def test_frontier_score_takes_clusters_from_the_smaller_group(spark):
+    rows = [(g, [10.0 * (k % 3), float(k % 3)]) for g, n in ((0, 30), (1, 90)) for k in range(n)]
+    df = spark.createDataFrame(rows, "g int, v array<double>")
+    assert abs(distributions.frontier_score(df, "g", "v", 0, 1).head().score - 1) < 1e-9  # three clusters of a third each
+    with pytest.raises(ValueError, match="no vectors"):
+        distributions.frontier_score(df, "g", "v", 0, 7)
