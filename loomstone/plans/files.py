@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from loomstone.plans.base import Plans
@@ -41,7 +40,7 @@ def _duration_file(spark, sf):
     row = F.concat(F.lit(" s"), F.floor(F.col("event_id") / 3).cast("string"), F.lit(" , "), F.when(F.col("event_id") % 11 == 0, "n/a").otherwise(F.col("value").cast("string")))
     rows = e.select("event_id", F.when(F.col("event_id") % 13 == 0, F.concat(row, F.lit(",more"))).otherwise(row).alias("value"))
     head = spark.createDataFrame([(-2, "sample_id,seconds"), (-1, "alone")], "event_id long, value string")
-    rows.unionByName(head).coalesce(1).sortWithinPartitions("event_id").select("value").write.text(path)
+    rows.unionByName(head).repartitionByRange("event_id").sortWithinPartitions("event_id").select("value").write.text(path)
     return path
 
 
@@ -64,7 +63,7 @@ def held_out_file(spark, sf):
     """Of several rows of a speaker the last in the file counts."""
     path = scratch(spark, "files-held")
     rows = table(spark, sf, "events").select("event_id", F.concat_ws(",", F.concat(F.lit("u"), "user_id"), F.concat(F.lit("e"), "event_id")).alias("value"))
-    rows.coalesce(1).sortWithinPartitions("event_id").select("value").write.text(path)
+    rows.repartitionByRange("event_id").sortWithinPartitions("event_id").select("value").write.text(path)
     return readers.read(spark, "held_out", path)
 
 
@@ -84,77 +83,95 @@ def records_of_files(spark, sf):
     return found.groupBy("checkpoint", "split").agg(F.count("*").alias("n"), F.sum(F.length("suffix")).alias("chars"), F.sum(F.element_at("gen_tokens", 1)).alias("tokens"))
 
 
-@plans.add("record_headers", "SELECT 'm' || n_nationkey AS made, n_name AS suffix FROM nation")
+@plans.add("record_headers", "SELECT 'm' || s_suppkey AS made, s_name AS suffix FROM supplier")
 def record_headers(spark, sf):
-    """Files of records that begin with a header: headers and records, put together by file."""
+    """Files of records that begin with a header, one a supplier: headers and records, put together by file."""
     path = scratch(spark, "files-headers")
-    for r in table(spark, sf, "nation").collect():  # 25 rows
-        lines = [json.dumps({"_meta": {"made": f"m{r['n_nationkey']}"}}), json.dumps({"suffix": r["n_name"]})]
-        sinks.write_bytes(spark, f"{path}/f{r['n_nationkey']}.jsonl", "\n".join(lines).encode())
+    head = F.to_json(F.struct(F.struct(F.concat(F.lit("m"), "s_suppkey").alias("made")).alias("_meta")))
+    rows = table(spark, sf, "supplier").select(F.format_string("f%d.jsonl", "s_suppkey").alias("name"), F.concat_ws("\n", head, F.to_json(F.struct(F.col("s_name").alias("suffix")))).alias("content"))
+    sinks.write_files(rows, path, "name", "content")
     records, heads = readers.read(spark, "records", path)
     return records.select("path", "suffix").join(heads, "path").select(F.col("meta")["made"].alias("made"), "suffix")
 
 
-@plans.add("listed_files", "SELECT 'f' || n_nationkey || '.txt' AS name, length(n_name)::BIGINT AS length FROM nation")
+@plans.add("listed_files", "SELECT 'f' || s_suppkey || '.txt' AS name, (length(s_name) + s_suppkey % 100)::BIGINT AS length FROM supplier")
 def listed_files(spark, sf):
     """Names and lengths of files, contents not read."""
     path = scratch(spark, "files-listed")
-    for r in table(spark, sf, "nation").collect():  # 25 rows
-        sinks.write_bytes(spark, f"{path}/f{r['n_nationkey']}.txt", r["n_name"].encode())
+    content = F.concat("s_name", F.repeat(F.lit("x"), (F.col("s_suppkey") % 100).cast("int")))
+    sinks.write_files(table(spark, sf, "supplier").select(F.format_string("f%d.txt", "s_suppkey").alias("name"), content.alias("content")), path, "name", "content")
     return readers.list_files(spark, path, "*.txt").select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").cast("long").alias("length"))
 
 
-def _matrix(spark, sf, kind: str):
-    rows = sorted((r["n_nationkey"], r["n_regionkey"]) for r in table(spark, sf, "nation").collect())  # 25 rows
-    return np.array([[a, b, a * b, 65_535 - a] for a, b in rows], kind)
+def _id_files(spark, sf, path: str, bytes_each: int, each: int = 1000) -> int:
+    """Raw little-endian matrices of four ids an order, ``<number>.bin`` for each ``each`` keys, written by executors; how
+    many orders there are."""
+    o = table(spark, sf, "orders").select("o_orderkey", F.pmod("o_orderkey", F.lit(65_536)).alias("a"), F.pmod("o_custkey", F.lit(65_536)).alias("b"))
+    ids = (F.col("a"), F.col("b"), F.pmod(F.col("a") * F.col("b"), F.lit(65_536)), 65_535 - F.col("a"))
 
+    def little(x):
+        digits = F.lpad(F.hex(x), 2 * bytes_each, "0")
+        return F.concat(*[F.substring(digits, 2 * i - 1, 2) for i in range(bytes_each, 0, -1)])
 
-_MATRIX = "WITH n AS (SELECT n_nationkey::BIGINT AS a, n_regionkey::BIGINT AS b FROM nation) SELECT a AS seq_id, a || ',' || b || ',' || a * b || ',' || 65535 - a AS ids FROM n"
+    rows = o.select(F.floor(F.col("o_orderkey") / each).alias("file"), F.struct("o_orderkey", F.concat(*[little(x) for x in ids]).alias("row")).alias("r"))
+    whole = rows.groupBy("file").agg(F.array_sort(F.collect_list("r")).alias("rows"))  # at most ``each`` rows
+    sinks.write_files(whole.select(F.format_string("%d.bin", "file").alias("name"), F.unhex(F.array_join("rows.row", "")).alias("content")), path, "name", "content")
+    return o.count()
+
+
+_IDS = """WITH o AS (SELECT o_orderkey // 1000 AS file, row_number() OVER (PARTITION BY o_orderkey // 1000 ORDER BY o_orderkey) - 1 AS seq_id, o_orderkey % 65536 AS a, o_custkey % 65536 AS b FROM orders)"""
+_MATRIX = f"{_IDS} SELECT file::VARCHAR AS file, seq_id, a || ',' || b || ',' || a * b % 65536 || ',' || 65535 - a AS ids FROM o"
+
+def _file():
+    return F.regexp_extract("file", r"([0-9]+)\.bin$", 1).alias("file")
 
 
 @plans.add("blocks_of_files", _MATRIX)
 def blocks_of_files(spark, sf):
-    """A raw matrix of 16-bit ids whose JSON sidecar tells its shape."""
+    """Raw matrices of 16-bit ids, a thousand orders a file, and a JSON sidecar that tells their width."""
     path = scratch(spark, "files-blocks")
-    data = _matrix(spark, sf, "<u2")
-    sinks.write_bytes(spark, f"{path}/ids.bin", data.tobytes())
-    sinks.write_bytes(spark, f"{path}/ids.json", json.dumps({"shape": list(data.shape), "dtype": "uint16"}).encode())
-    return readers.read(spark, "shaped_blocks", f"{path}/ids.bin", f"{path}/ids.json").select("seq_id", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
+    n = _id_files(spark, sf, f"{path}/ids", 2)
+    sinks.write_bytes(spark, f"{path}/ids.json", json.dumps({"shape": [n, 4], "dtype": "uint16"}).encode())
+    return readers.read(spark, "shaped_blocks", f"{path}/ids", f"{path}/ids.json").select(_file(), "seq_id", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
 
 
 @plans.add("wide_blocks_of_files", _MATRIX)
 def wide_blocks_of_files(spark, sf):
     """The same in 32 bits, read seven rows at a time."""
     path = scratch(spark, "files-wide")
-    sinks.write_bytes(spark, f"{path}/ids.bin", _matrix(spark, sf, "<u4").tobytes())
-    return readers.read_blocks(spark, f"{path}/ids.bin", 4, 4, rows_each=7).select("seq_id", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
+    _id_files(spark, sf, path, 4)
+    return readers.read_blocks(spark, path, 4, 4, rows_each=7).select(_file(), "seq_id", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
 
 
-@plans.add("flat_ids_of_files", "WITH n AS (SELECT n_nationkey::BIGINT AS a, n_regionkey::BIGINT AS b FROM nation) SELECT a * 4 + k AS seq_id, [a, b, a * b, 65535 - a][k + 1] AS id FROM n, range(0, 4) t(k)")
+@plans.add("flat_ids_of_files", f"{_IDS} SELECT file::VARCHAR AS file, seq_id * 4 + k AS seq_id, [a, b, a * b % 65536, 65535 - a][k + 1] AS id FROM o, range(0, 4) t(k)")
 def flat_ids_of_files(spark, sf):
-    """A file of one dimension: one id a row."""
+    """Files of one dimension: one id a row."""
     path = scratch(spark, "files-flat")
-    data = _matrix(spark, sf, "<u2").ravel()
-    sinks.write_bytes(spark, f"{path}/ids.bin", data.tobytes())
-    sinks.write_bytes(spark, f"{path}/ids.json", json.dumps({"shape": [len(data)]}).encode())
-    return readers.read_shaped(spark, f"{path}/ids.bin", f"{path}/ids.json").select("seq_id", F.element_at("ids", 1).alias("id"))
+    n = _id_files(spark, sf, f"{path}/ids", 2)
+    sinks.write_bytes(spark, f"{path}/ids.json", json.dumps({"shape": [4 * n]}).encode())
+    return readers.read_shaped(spark, f"{path}/ids", f"{path}/ids.json").select(_file(), "seq_id", F.element_at("ids", 1).alias("id"))
 
 
-@plans.add("id_map_of_file", "SELECT n_nationkey AS old_id, (24 - n_nationkey)::INT AS new_id FROM nation")
+@plans.add("id_map_of_file", "SELECT s_suppkey::INT AS old_id, (100000 - s_suppkey)::INT AS new_id FROM supplier")
 def id_map_of_file(spark, sf):
-    """A map between ids from a JSON object with text keys."""
-    path = scratch(spark, "files-map") + "/map.json"
-    sinks.write_bytes(spark, path, json.dumps({str(r["n_nationkey"]): 24 - r["n_nationkey"] for r in table(spark, sf, "nation").collect()}).encode())
+    """Maps between ids from JSON objects with text keys, one file for 64 ids."""
+    path = scratch(spark, "files-map")
+    entry = F.struct(F.col("s_suppkey").cast("string").alias("key"), (100_000 - F.col("s_suppkey")).alias("value"))
+    maps = table(spark, sf, "supplier").groupBy(F.floor(F.col("s_suppkey") / 64).alias("file")).agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("content"))  # 64 entries
+    sinks.write_files(maps.withColumn("name", F.format_string("%d.json", "file")), path, "name", "content")
     return readers.read(spark, "id_map", path)
 
 
-@plans.add("merges_of_file", "SELECT n_nationkey AS rank, lower(n_name[1:1]) || ' ' || lower(n_name[2:]) AS merge FROM nation")
+@plans.add("merges_of_file", "SELECT (s_suppkey // 64)::VARCHAR AS file, (row_number() OVER (PARTITION BY s_suppkey // 64 ORDER BY s_suppkey) - 1)::INT AS rank, lower(s_name[1:1]) || ' ' || lower(s_name[2:]) AS merge FROM supplier")
 def merges_of_file(spark, sf):
-    """Merges in order from a tokenizer file."""
-    path = scratch(spark, "files-merges") + "/tokenizer.json"
-    names = [r["n_name"].lower() for r in table(spark, sf, "nation").orderBy("n_nationkey").collect()]
-    sinks.write_bytes(spark, path, json.dumps({"model": {"type": "BPE", "merges": [f"{n[0]} {n[1:]}" for n in names]}}).encode())
-    return readers.read(spark, "merges", path)
+    """Merges in order from tokenizer files of 64 merges each."""
+    path = scratch(spark, "files-merges")
+    name = F.lower("s_name")
+    merge = F.struct("s_suppkey", F.concat_ws(" ", F.substring(name, 1, 1), F.expr("substring(lower(s_name), 2)")).alias("merge"))
+    lists = table(spark, sf, "supplier").groupBy(F.floor(F.col("s_suppkey") / 64).alias("file")).agg(F.array_sort(F.collect_list(merge)).alias("m"))
+    model = F.to_json(F.struct(F.struct(F.lit("BPE").alias("type"), F.col("m.merge").alias("merges")).alias("model")))
+    sinks.write_files(lists.select(F.format_string("%d.json", "file").alias("name"), model.alias("content")), path, "name", "content")
+    return readers.read(spark, "merges", path).select(F.regexp_extract("path", r"([0-9]+)\.json$", 1).alias("file"), "rank", "merge")
 
 
 @plans.add("schedule_of_file", "SELECT (event_id % 97)::INT AS bin, count(*) AS n FROM events GROUP BY 1")
@@ -218,12 +235,12 @@ def summary_files(spark, sf):
     return both.groupBy(F.col("n_regionkey").alias("region"), "n").agg(F.count("*").alias("copies"))
 
 
-@plans.add("manifest_of_key", "SELECT 'k' || r_regionkey AS key, r_name AS name FROM region")
+@plans.add("manifest_of_key", "SELECT 'k' || s_suppkey AS key, s_name AS name FROM supplier")
 def manifest_of_key(spark, sf):
-    """Settings that cache keys stand for, from the manifests beside the data."""
+    """Settings that cache keys stand for, from the manifests beside the data, which executors write."""
     path = scratch(spark, "files-manifest")
-    for r in table(spark, sf, "region").collect():  # 5 rows
-        sinks.write_manifest(spark, f"{path}/k{r['r_regionkey']}.json", f"k{r['r_regionkey']}", {"name": r["r_name"]})
+    rows = table(spark, sf, "supplier").select(F.concat(F.lit("k"), "s_suppkey").alias("key"), F.col("s_name").alias("name"))
+    sinks.write_manifests(rows, path, "key", ["name"])
     return spark.read.schema("key string, settings struct<name:string>").json(path).select("key", "settings.name")
 
 

@@ -166,17 +166,17 @@ def read_shaped(spark: SparkSession, path: str, sidecar: str) -> DataFrame:
 
 @register("id_map")
 def read_id_map(spark: SparkSession, path: str) -> DataFrame:
-    """``old_id, new_id`` from a JSON object with text keys."""
+    """``old_id, new_id`` from JSON objects with text keys, one a file."""
     text = spark.read.text(path, wholetext=True)
     return text.select(F.explode(F.from_json("value", "map<string,int>")).alias("k", "new_id")).select(F.col("k").cast("int").alias("old_id"), "new_id")
 
 
 @register("merges")
 def read_merges(spark: SparkSession, path: str) -> DataFrame:
-    """``rank, merge`` of a tokenizer file; a model of another type than BPE is an error."""
-    text = spark.read.text(path, wholetext=True).select(F.from_json("value", "model struct<type:string,merges:array<string>>").alias("j"))
+    """``path, rank, merge`` of tokenizer files; a model of another type than BPE is an error."""
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.from_json("value", "model struct<type:string,merges:array<string>>").alias("j"))
     text = text.where(F.when(F.col("j.model.type") == "BPE", True).otherwise(F.raise_error(F.lit("the model is not BPE")).cast("boolean")))
-    return text.select(F.posexplode("j.model.merges").alias("rank", "merge"))
+    return text.select("path", F.posexplode("j.model.merges").alias("rank", "merge"))
 
 
 @register("schedule")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,6 +86,36 @@ def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
         out.close()
 
 
+def write_files(rows: DataFrame, path: str, name: str, content: str) -> int:
+    """Write one file for each row, named by ``name`` (slashes make folders) with the bytes or text of ``content``, from
+    the executors; the number of files. A null content is an empty file, a null name an error. Of rows with one name the
+    last to be written stays; a task that runs again writes the same files."""
+    from loomstone.sources.wave import open_place
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, inner = open_place(path)
+        made = set()
+        for batch in batches:
+            for label, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                folder = f"{inner}/{label}".rsplit("/", 1)[0]
+                if folder not in made:
+                    system.create_dir(folder, recursive=True)
+                    made.add(folder)
+                with system.open_output_stream(f"{inner}/{label}") as f:
+                    f.write(data or b"")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    named = F.when(F.col(name).isNull(), F.raise_error(F.lit("a file has no name")).cast("string")).otherwise(F.col(name).cast("string"))
+    written = rows.select(named.alias("name"), F.col(content).cast("binary").alias("content")).mapInArrow(put, "n long")
+    return int(written.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0])
+
+
+def write_manifests(rows: DataFrame, path: str, key: str, settings: list[str]) -> int:
+    """A manifest for each row, ``<key>.json``: the columns that its cache key stands for (names in order)."""
+    text = F.to_json(F.struct(F.col(key).alias("key"), F.struct(*sorted(settings)).alias("settings")), {"ignoreNullFields": "false"})
+    return write_files(rows.select(F.concat(F.col(key), F.lit(".json")).alias("name"), text.alias("content")), path, "name", "content")
+
+
 def write_manifest(spark: SparkSession, path: str, key: str, settings: dict) -> None:
     """The settings that a cache key stands for, as JSON beside the data (names in order)."""
     write_bytes(spark, path, json.dumps({"key": key, "settings": settings}, sort_keys=True, ensure_ascii=False).encode())

@@ -20,7 +20,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 FILES_EACH, MOST_HEADERS = 256, 4096
 
 
-def _open(uri: str):
+def open_place(uri: str):
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri if re.match(r"^[a-z0-9+.-]+:/", uri) else f"file://{uri}"))
@@ -77,7 +77,7 @@ class _HeaderReader(DataSourceReader):
     def partitions(self) -> list[_Ranges]:
         from pyarrow import fs
 
-        system, inner = _open(self.path)
+        system, inner = open_place(self.path)
         scheme = re.match(r"^[a-z0-9+.-]+:/+", self.path)
         found = system.get_file_info([inner]) if system.get_file_info(inner).type == fs.FileType.File else system.get_file_info(fs.FileSelector(inner, recursive=True))
         files = sorted((f.path, f.size) for f in found if f.type == fs.FileType.File and f.path.lower().endswith(".wav"))
@@ -88,7 +88,7 @@ class _HeaderReader(DataSourceReader):
         names = ["channels", "rate", "bits", "frames", "seconds", "error"]
         rows = []
         for path, size in zip(partition.paths, partition.stops, strict=True):
-            system, inner = _open(path)
+            system, inner = open_place(path)
             with system.open_input_file(inner) as f:
                 found, used = parse_header(lambda place, n, f=f, size=size: f.read_at(max(0, min(n, size - place)), place))
             rows.append((path, size, used, *[found.get(n) for n in names]))
@@ -125,7 +125,7 @@ def write_waves(rows: DataFrame, path: str, name: str, samples: str, rate: str)
     """
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, inner = _open(path)
+        system, inner = open_place(path)
         system.create_dir(inner, recursive=True)
         for batch in batches:
             frames = []

@@ -137,6 +137,21 @@ def test_distances_of_distributions(spark):
     assert distributions.frechet_distance(df, "g", "v", 3, "a", "a").head().distance == pytest.approx(0, abs=1e-9)
 
 
+def test_files_of_rows(spark, tmp_path):
+    """Executors write one file a row: text, bytes, empty for null; a row without a name is an error."""
+    rows = spark.createDataFrame([("a/x.txt", b"one\ntwo"), ("b.bin", bytes(range(256))), ("none", None), ("", None)], "name string, content binary")
+    assert sinks.write_files(rows.where("name <> ''"), f"{tmp_path}/out", "name", "content") == 3
+    assert (tmp_path / "out/a/x.txt").read_bytes() == b"one\ntwo"
+    assert (tmp_path / "out/b.bin").read_bytes() == bytes(range(256))
+    assert (tmp_path / "out/none").read_bytes() == b""
+    assert sinks.write_files(rows.where("name = 'z'"), f"{tmp_path}/out", "name", "content") == 0
+    with pytest.raises(Exception, match="no name"):
+        sinks.write_files(spark.createDataFrame([(None, "x")], "name string, content string"), f"{tmp_path}/out", "name", "content")
+    manifests = spark.createDataFrame([("k1", "n", None)], "key string, b string, a string")
+    assert sinks.write_manifests(manifests, f"{tmp_path}/m", "key", ["b", "a"]) == 1
+    assert json.loads((tmp_path / "m/k1.json").read_text()) == {"key": "k1", "settings": {"a": None, "b": "n"}}
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "d.csv").write_text("id,seconds\na,0\nb,32\nc,32.1\nd\ne,x\n")
     assert sorted((r.sample_id, r.seconds) for r in readers.read(spark, "durations", f"{tmp_path}/d.csv").collect()) == [("a", 0.0), ("b", 32.0)]
