@@ -2,13 +2,15 @@
 
 Normalised vectors are projected on random directions; a table's bucket is the tuple of quantised projections. Two
 vectors of one label that share a bucket in any table are compared by exact cosine. A pair counts in the first table
-in which it meets, so links are counted once without pairs being written out.
+in which it meets, so links are counted once without pairs being written out. Which table that is, workers find out by
+hashing linked vectors again: projections are sums of whole numbers, the same on every machine and in every order.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,18 +39,30 @@ def hash_choice(n: int) -> tuple[int, int]:
     return projections, math.ceil(math.log(MISSED) / math.log1p(-(SHARED**projections)))
 
 
+@lru_cache(maxsize=8)
 def _directions(dim: int, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Directions as whole numbers of up to 20 bits (65536ths), a column each, and shifts."""
     rng = np.random.default_rng([dim, 20251])
-    return rng.standard_normal((count, dim)).T, np.random.default_rng([dim, 20252]).uniform(0, STEP, count)
+    whole = np.rint(np.clip(rng.standard_normal((count, dim)), -15, 15) * 65_536)
+    return np.ascontiguousarray(whole.T), np.random.default_rng([dim, 20252]).uniform(0, STEP, count)
 
 
-def bucket_keys(x: np.ndarray, salt: np.ndarray, projections: int, tables: int) -> np.ndarray:
-    """``[row, table]`` bucket keys of the rows of ``x``; ``salt`` tells labels apart."""
+def bucket_keys(x: np.ndarray, salt: np.ndarray, projections: int, tables: int, first: int | None = None) -> np.ndarray:
+    """``[row, table]`` bucket keys of the rows of ``x`` in the ``first`` tables (none given: in all); ``salt`` tells
+    labels apart.
+
+    Components and directions are whole numbers so small that all sums stay below 2^53: floating-point numbers hold them
+    exactly, and a vector has the same keys in whatever company it is hashed.
+    """
+    wide = math.ceil(math.log2(max(x.shape[1], 2)))
+    first = tables if first is None else first
     a, b = _directions(x.shape[1], projections * tables)
-    x = x / np.abs(x).max(axis=1, keepdims=True)
-    unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
-    steps = np.floor((unit @ a + b) / STEP).astype(np.int64).view(_U).reshape(len(x), tables, projections)
-    key = mix(salt.astype(np.int64).view(_U) + _U(x.shape[1]))[:, None] ^ mix(np.arange(1, tables + 1, dtype=_U))[None, :]
+    a, b = a[:, : first * projections], b[: first * projections]
+    x = np.rint(x / np.abs(x).max(axis=1, keepdims=True) * 2.0 ** ((52 - wide) // 2))
+    scale = 2.0 ** min(20, 32 - wide)
+    unit = np.rint(x / np.sqrt((x * x).sum(axis=1, keepdims=True)) * scale)
+    steps = np.floor((unit @ a / (scale * 65_536) + b) / STEP).astype(np.int64).view(_U).reshape(len(x), first, projections)
+    key = mix(salt.astype(np.int64).view(_U) + _U(x.shape[1]))[:, None] ^ mix(np.arange(1, first + 1, dtype=_U))[None, :]
     with np.errstate(over="ignore"):
         for k in range(projections):
             key = mix(key * _U(0x9FB21C651E98DF25) + steps[:, :, k])
@@ -72,17 +86,31 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return np.where((top > 1e-100) & (top < 1e100), x, x / top)
 
 
+def _first_met(x: np.ndarray, salt: np.ndarray, a: np.ndarray, b: np.ndarray, at: np.ndarray, projections: int, tables: int) -> np.ndarray:
+    """Whether rows ``a`` and ``b`` share no bucket of a table before ``at``; only these rows are hashed again."""
+    before = int(at.max(initial=0))
+    if not before:
+        return np.ones(len(a), bool)
+    fresh = np.empty(len(a), bool)
+    for begin in range(0, len(a), 65_536):
+        part = slice(begin, begin + 65_536)
+        rows, place = np.unique(np.concatenate((a[part], b[part])), return_inverse=True)
+        keys = np.concatenate([bucket_keys(x[rows[i : i + 4096]], salt[rows[i : i + 4096]], projections, tables, before) for i in range(0, len(rows), 4096)])
+        n = len(a[part])
+        for i in range(0, n, 4096):
+            u, v = place[:n][i : i + 4096], place[n:][i : i + 4096]
+            same = (keys[u] == keys[v]) & (np.arange(before)[None, :] < at[part][i : i + 4096, None])
+            fresh[begin + i : begin + i + len(u)] = ~same.any(axis=1)
+    return fresh
+
+
 class _Tally:
-    def __init__(self, ids: np.ndarray, weight: np.ndarray, keys: np.ndarray, at: int):
-        self.ids, self.weight, self.keys, self.at = ids, weight, keys, at
+    def __init__(self, ids: np.ndarray, weight: np.ndarray):
+        self.ids, self.weight = ids, weight
         self.links, self.forest = np.zeros(len(ids), np.int64), Forest(len(ids))
 
     def add(self, a: np.ndarray, b: np.ndarray) -> None:
-        """Count the linked pairs that have met in no earlier table."""
-        fresh = np.ones(len(a), bool)
-        for t in range(self.at):
-            fresh &= self.keys[a, t] != self.keys[b, t]
-        a, b = a[fresh], b[fresh]
+        """Count linked pairs that have met in no earlier table."""
         np.add.at(self.links, a, self.weight[b])
         np.add.at(self.links, b, self.weight[a])
         for i, j in zip(a.tolist(), b.tolist(), strict=True):
@@ -90,13 +118,13 @@ class _Tally:
                 self.forest.union(i, j)
 
 
-def _compare(least: float, tables: int):
-    schema = pa.schema([("k", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
+def _compare(least: float, projections: int, tables: int):
+    schema = pa.schema([("c", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
     def group(rows: pa.Table) -> pa.RecordBatch | None:
-        side, at = rows.column(1).to_numpy(), int(rows.column(2)[0].as_py())
+        side, at, salt = (rows.column(i).to_numpy() for i in (1, 2, 6))
         x = _matrix(rows.column(5))
-        tally = _Tally(rows.column(3).to_numpy(), rows.column(4).to_numpy(), _keys(rows.column(6)), at)
+        tally = _Tally(rows.column(3).to_numpy(), rows.column(4).to_numpy())
         within = side[0] < 0
         left, right = (np.arange(len(x)),) * 2 if within else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
         for begin in range(0, len(left), 512):
@@ -105,12 +133,11 @@ def _compare(least: float, tables: int):
             a, b = part[a], right[b]
             if within:
                 a, b = a[a < b], b[a < b]
-            tally.add(a, b)
+            if len(a):
+                fresh = _first_met(x, salt, a, b, at[a], projections, tables)
+                tally.add(a[fresh], b[fresh])
         return _report(tally)
 
-    def _keys(column: pa.ChunkedArray) -> np.ndarray:
-        return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, tables)
-
     def _report(tally: _Tally) -> pa.RecordBatch | None:
         roots, hit = tally.forest.roots(), tally.links > 0
         if not hit.any():
@@ -128,9 +155,8 @@ def _compare(least: float, tables: int):
             if not len(g):
                 continue
             a, b = g * size + a, g * size + b
-            ids, weight, keys, own = part.column(3).to_numpy(), part.column(4).to_numpy(), _keys(part.column(6)), part.column(2).to_numpy()
-            same = keys[a] == keys[b]
-            fresh = same.argmax(axis=1) == own[a]
+            ids, weight = part.column(3).to_numpy(), part.column(4).to_numpy()
+            fresh = _first_met(x.reshape(-1, x.shape[2]), part.column(6).to_numpy(), a, b, part.column(2).to_numpy()[a], projections, tables)
             a, b = a[fresh], b[fresh]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((ids[a], ids[b]))), pa.array(np.concatenate((weight[b], weight[a]))), pa.array(np.concatenate((ids[a], ids[a])))], schema=schema)
 
@@ -173,7 +199,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
     Two rows are linked when their labels are equal and not null and their cosine, in double precision, is at least
     ``least``; ``component`` is the smallest id reachable. Equal vectors of a label are one class from the start, so
-    copies cost nothing. Defined cases: vectors that are null, empty, zero, or hold null or non-finite components
+    copies cost nothing; a class is named by 128 bits. A vector may have any length. Defined cases: vectors that are null, empty, zero, or hold null or non-finite components
     link with nothing, nor do vectors of different length; a null id is larger than all ids; repeated rows are
     linked with each other; an empty table gives an empty result; other columns are not looked at.
     """
@@ -181,9 +207,11 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     # Floats stay floats where they are moved; they are compared in double precision.
     kind = "array<float>" if isinstance(vectors.schema[vector_col].dataType.elementType, T.FloatType) else "array<double>"
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast(kind).alias("v"), F.col(label_col).alias("label"))
-    rows = rows.withColumn("k", F.when(_usable(F.col("v"), F.col("label")), F.xxhash64("label", "v")))
-    named = stored(rows.select("id", "k"), "vector-names")
-    classes = rows.where("k is not null").groupBy("k").agg(F.count("*").alias("m"), F.first("v").alias("v"), F.first(F.xxhash64("label")).alias("salt"))
+    usable = _usable(F.col("v"), F.col("label"))
+    rows = rows.withColumn("k", F.when(usable, F.xxhash64("label", "v"))).withColumn("k2", F.when(usable, F.xxhash64(F.lit(1), "label", "v")))
+    named = stored(rows.select("id", "k", "k2"), "vector-names")
+    classes = rows.where("k is not null").groupBy("k", "k2").agg(F.count("*").alias("m"), F.first("v").alias("v"), F.first(F.xxhash64("label")).alias("salt"))
+    classes = classes.select(F.monotonically_increasing_id().alias("c"), "m", "v", "salt", "k", "k2")  # numbered once: they are stored below
     widest = vectors.where(F.col(label_col).isNotNull()).groupBy(label_col).agg(F.count("*").alias("n")).agg(F.max("n")).head()[0] or 0
     projections, tables = hash_choice(widest)
 
@@ -198,27 +226,27 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
                 for begin in range(0, len(which), 4096):
                     keys[which[begin : begin + 4096]] = bucket_keys(x[begin : begin + 4096], batch.column(3).to_numpy()[which[begin : begin + 4096]], projections, tables)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * tables), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists, flat], names=["k", "m", "v", "keys"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, flat], names=["c", "m", "v", "salt", "k", "k2", "keys"])
 
-    classes = stored(classes.mapInArrow(hashed, f"k long, m long, v {kind}, keys array<long>"), "vector-classes")
-    places = classes.select("k", F.posexplode("keys").alias("at", "bucket"))
+    classes = stored(classes.mapInArrow(hashed, f"c long, m long, v {kind}, salt long, k long, k2 long, keys array<long>"), "vector-classes")
+    places = classes.select("c", F.posexplode("keys").alias("at", "bucket"))
     shared = places.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     dealt = places.join(shared, "bucket").withColumn("blocks", F.ceil(F.col("size") / most).cast("int"))
-    own = F.pmod(F.xxhash64("k", F.lit(3)), F.col("blocks")).cast("int")
+    own = F.pmod(F.xxhash64("c", F.lit(3)), F.col("blocks")).cast("int")
     dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     # A task compares block i with block j > i, sides 0 and 1, or one block within itself, side -1.
     pair = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))
-    dealt = dealt.select(F.when(F.col("blocks") == 1, F.col("bucket")).otherwise(pair).alias("g"), F.when(F.col("own") == F.col("other"), -1).otherwise((F.col("own") > F.col("other")).cast("int")).alias("side"), "at", "k")
+    dealt = dealt.select(F.when(F.col("blocks") == 1, F.col("bucket")).otherwise(pair).alias("g"), F.when(F.col("own") == F.col("other"), -1).otherwise((F.col("own") > F.col("other")).cast("int")).alias("side"), "at", "c")
     dealt = stored(dealt, "vector-buckets")
     n = partitions(vectors.sparkSession)
-    payload = dealt.join(classes, "k").select("g", "side", "at", "k", "m", "v", "keys", F.size("v").alias("dim")).repartition(n, "g").sortWithinPartitions("g")
-    met = stored(payload.mapInArrow(_compare(least, tables), "k long, links long, root long"), "vector-links")
-
-    groups = connected_components(met.select(F.col("k").alias("src"), F.col("root").alias("dst")))
-    linked = groups.withColumnRenamed("id", "k").withColumnRenamed("component", "root")
-    counts = met.groupBy("k").agg(F.sum("links").alias("links"))
-    by_class = classes.select("k", "m").join(counts, "k", "left").join(linked, "k", "left").select("k", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("root", "k").alias("root"))
-    placed = stored(named.join(by_class, "k", "left"), "vector-placed")
+    payload = dealt.join(classes.select("c", "m", "v", "salt"), "c").select("g", "side", "at", "c", "m", "v", "salt", F.size("v").alias("dim")).repartition(n, "g").sortWithinPartitions("g")
+    met = stored(payload.mapInArrow(_compare(least, projections, tables), "c long, links long, root long"), "vector-links")
+
+    groups = connected_components(met.select(F.col("c").alias("src"), F.col("root").alias("dst")))
+    linked = groups.withColumnRenamed("id", "c").withColumnRenamed("component", "root")
+    counts = met.groupBy("c").agg(F.sum("links").alias("links"))
+    by_class = classes.select("c", "k", "k2", "m").join(counts, "c", "left").join(linked, "c", "left").select("k", "k2", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("root", "c").alias("root"))
+    placed = stored(named.join(by_class, ["k", "k2"], "left"), "vector-placed")
     tops = placed.where("root is not null").groupBy("root").agg(F.min("id").alias("component"))
     discard(named, classes, dealt, met, groups)
     return placed.where("root is not null").join(tops, "root").select("id", "n_links", "component").unionByName(placed.where("root is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component")))

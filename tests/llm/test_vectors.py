@@ -67,3 +67,30 @@ def test_chance_to_meet(spark):
 
 def test_empty_table(spark):
     assert V.near_vectors(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_keys_do_not_depend_on_company():
+    """A vector has the same keys alone, among others and in the first tables only, whatever its scale in powers of two."""
+    rng = np.random.default_rng(5)
+    for dim in (1, 3, 64, 5000):
+        x, salt = rng.standard_normal((301, dim)), np.arange(301)
+        whole = V.bucket_keys(x, salt, 7, 5)
+        alone = np.concatenate([V.bucket_keys(x[i : i + 1] * 2.0 ** (i % 9), salt[i : i + 1], 7, 5) for i in range(301)])
+        assert (whole == alone).all()
+        assert (V.bucket_keys(x[::-1], salt[::-1], 7, 5, 2)[::-1] == whole[:, :2]).all()
+
+
+def test_planted_links(spark):
+    """Many links at the threshold in 64 dimensions, a component of three steps, counted once though pairs meet in many tables."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for g in range(300):
+        x = rng.standard_normal(64)
+        for step in range(4):
+            rows.append((4 * g + step, [float(v) for v in x], g % 3, "x"))
+            y = rng.standard_normal(64)
+            y -= (x @ y) / (x @ x) * x
+            x = 0.985 * x + np.sqrt(1 - 0.985**2) * np.linalg.norm(x) * y / np.linalg.norm(y)
+    got = {r.id: (r.n_links, r.component) for r in V.near_vectors(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert sorted((k, *v) for k, v in got.items()) == _brute(rows)
+    assert sum(n for n, _ in got.values()) >= 1800  # every step; a few pairs two steps apart reach 0.98 by chance
