@@ -156,7 +156,9 @@ def invert_map(m: Column) -> Column:
 
 def private_text(ids: Column, offset: int) -> Column:
     """Ids as characters from ``offset`` on, one each: a text that tokenizers can be trained on."""
-    return F.decode(F.unhex(F.array_join(F.transform(ids, lambda t: F.lpad(F.hex(t.cast("long") + offset), 8, "0")), "")), "UTF-32")
+    codes = F.array_join(F.transform(ids, lambda t: F.lpad(F.hex(t.cast("long") + offset), 8, "0")), "")
+    # The decoder takes one U+FEFF off the start as a byte order mark; it gets one of its own, so that an id's stays.
+    return F.decode(F.unhex(F.concat(F.lit("0000FEFF"), codes)), "UTF-32")
 
 
 def private_ids(text: Column, offset: int, vocabulary: int, invalid: str = "raise", end: int | None = None) -> Column:

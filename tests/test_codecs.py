@@ -53,3 +53,10 @@ def test_edges_lose_one_mark_each(spark):
 def test_finished_codes(spark):
     df = spark.createDataFrame([([1, 2],), ([1, 2, 3, 4],), ([],)], "ids array<int>")
     assert [list(r.x) for r in df.select(C.finish_codes(F.col("ids"), 9, 0, 4).alias("x")).collect()] == [[1, 2, 9, 0], [1, 2, 3, 9], [9, 0, 0, 0]]
+
+
+def test_private_text_keeps_a_first_byte_order_mark(spark):
+    """Id 7935 is U+FEFF, which decoders of UTF-32 take off the start of a text."""
+    rows = spark.createDataFrame([([7935, 5],), ([7935, 7935],), ([5, 7935],), ([7935],), ([],)], "ids array<long>").select("ids", C.private_text(F.col("ids"), 0xE000).alias("t"))
+    got = rows.select("ids", "t", C.private_ids(F.col("t"), 0xE000, 32768).alias("back")).collect()
+    assert all(r.back == r.ids and r.t == "".join(chr(0xE000 + i) for i in r.ids) for r in got)
