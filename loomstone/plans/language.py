@@ -41,14 +41,14 @@ def _rounded(scored):
 def modelled_perplexity(spark, sf):
     """Bits a token and perplexity of each language's documents, by a trigram model of all documents."""
     docs = _documents(spark, sf)
-    return _rounded(L.score_texts(docs, F.col("w"), L.count_model(docs, F.col("w")), ["lang"]))
+    return _rounded(L.score_corpus(docs, F.col("w"), ["lang"]))
 
 
 @plans.add("modelled_documents", _sql(64, 16, "SELECT doc_id, w FROM docs", "doc_id"))
 def modelled_documents(spark, sf):
     """The same for every document by itself, through short windows."""
     docs = _documents(spark, sf)
-    return _rounded(L.score_texts(docs, F.col("w"), L.count_model(docs, F.col("w")), ["doc_id"], 64, 16))
+    return _rounded(L.score_corpus(docs, F.col("w"), ["doc_id"], 64, 16))
 
 
 @plans.add("modelled_completions", _sql(64, 32, "SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '\\S+') AS w FROM benchmark", "item_id", "8"))
