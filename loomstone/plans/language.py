@@ -56,4 +56,4 @@ def modelled_completions(spark, sf):
     """Items of the benchmark after their first eight words, which are read but not scored; most words are unknown pairs."""
     items = table(spark, sf, "benchmark").select("item_id", words(F.col("text")).alias("w"))
     docs = _documents(spark, sf)
-    return _rounded(L.score_texts(items, F.col("w"), L.count_model(docs, F.col("w")), ["item_id"], 64, 32, F.lit(8)))
+    return _rounded(L.score_few(items, F.col("w"), docs, F.col("w"), ["item_id"], 64, 32, F.lit(8)))
