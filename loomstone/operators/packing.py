@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 RANGES = 4096
+#: Rows whose words a worker looks up at a time.
+LOOKED_UP = 64
 
 
 def running_total(df: DataFrame, order: str, amount: Column, name: str = "start") -> DataFrame:
@@ -74,10 +76,14 @@ def encode(docs: DataFrame, key: str, words: Column, vocab: DataFrame, unknown:
     shared = docs.sparkSession.sparkContext.broadcast((pa.array(known["word"], pa.string()), known["id"].to_numpy(np.int32)))
     rows = docs.select(key, words.alias("_words"))
     schema = T.StructType([rows.schema[key], T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    return rows.mapInArrow(lambda batches: _looked_up(batches, key, *shared.value, unknown), schema)
 
-    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, ids = shared.value
-        for batch in batches:
+
+def _looked_up(batches: Iterator[pa.RecordBatch], key: str, names: pa.Array, ids: np.ndarray, unknown: int) -> Iterator[pa.RecordBatch]:
+    """Ids of batches of words, ``LOOKED_UP`` rows at a time: a worker holds a batch of Spark's and the codes of few rows."""
+    for whole in batches:
+        for begin in range(0, whole.num_rows, LOOKED_UP):
+            batch = whole.slice(begin, LOOKED_UP)
             lists = batch.column(1)
             found = pc.index_in(lists.flatten(), value_set=names)
             at = found.fill_null(-1).to_numpy(zero_copy_only=False)
@@ -86,8 +92,6 @@ def encode(docs: DataFrame, key: str, words: Column, vocab: DataFrame, unknown:
             ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(codes))], names=[key, "ids"])
 
-    return rows.mapInArrow(look_up, schema)
-
 
 def _once(encoded: DataFrame) -> DataFrame:
     """Non-empty rows, encoded once: cuts, totals and rows all read what is kept."""

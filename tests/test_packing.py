@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from loomstone.operators import packing as P
@@ -59,3 +61,14 @@ def test_empty_tables(spark):
 def test_vocabulary_order(spark):
     docs = spark.createDataFrame([(["b", "a", "b", "c", "a"],)], "w array<string>")
     assert [(r.word, r.n, r.id) for r in P.vocabulary(docs, F.col("w"), 2, 5).orderBy("id").collect()] == [("a", 2, 5), ("b", 2, 6)]
+
+
+def test_words_are_looked_up_a_few_rows_at_a_time():
+    """Of a large batch the codes of few rows are held at once; null rows and words, slices and order are kept."""
+    rows = [None, [], ["a", None, "x"], *([["b", "a"]] * 1000), ["x"]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(rows) + 1)), pa.array([["a"]] + rows)], names=["id", "w"]).slice(1)
+    out = list(P._looked_up(iter([batch]), "id", pa.array(["a", "b"]), np.array([5, 6], np.int32), 1))
+    assert max(b.num_rows for b in out) <= 64
+    got = [r for b in out for r in b.to_pylist()]
+    assert [r["id"] for r in got] == list(range(1, len(rows) + 1))
+    assert [r["ids"] for r in got] == [[], [], [5, 1, 1], *([[6, 5]] * 1000), [1]]
