@@ -17,6 +17,11 @@ def ngrams(words: Column, n: int) -> Column:
     return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
 
 
+def ngram_count(words: Column, n: int) -> Column:
+    """How many n-grams a word array has."""
+    return F.greatest(F.size(words) - n + 1, F.lit(0))
+
+
 def repetition(docs: DataFrame, words: Column, n: int, by: list[str] | None = None) -> DataFrame:
     """``rep_n``: hundredths of n-grams that repeat one of their own document, over all documents of the group."""
     grams = docs.select(*(by or []), ngrams(words, n).alias("g")).select(*(by or []), F.size("g").alias("n"), F.size(F.array_distinct("g")).alias("d"))
@@ -24,10 +29,13 @@ def repetition(docs: DataFrame, words: Column, n: int, by: list[str] | None = No
 
 
 def distinctness(docs: DataFrame, words: Column, n: int, by: list[str] | None = None) -> DataFrame:
-    """``distinct_n``: hundredths of n-grams that are distinct in the whole group. Each document sends each of its
-    n-grams once, with its count."""
+    """``distinct_n``: hundredths of n-grams that are distinct in the whole group. An n-gram is named by two 64-bit hashes of
+    its words, together 128 bits, so that no two of any corpus are taken for one another; only these are shuffled.
+    """
     keys = by or []
-    grams = docs.select(*keys, F.explode(ngrams(words, n)).alias("g")).groupBy(*keys, "g").agg(F.count("*").alias("c"))
+    spread = docs.withColumn("_w", words).select(*keys, "_w", F.posexplode("_w").alias("_p", "_first")).where(F.col("_p") + n <= F.size("_w"))
+    gram = [F.col("_first"), *[F.get("_w", F.col("_p") + k) for k in range(1, n)]]
+    grams = spread.select(*keys, F.xxhash64(*gram).alias("_h"), F.xxhash64(F.lit(1), *gram).alias("_h2")).groupBy(*keys, "_h", "_h2").agg(F.count("*").alias("c"))
     return grams.groupBy(*keys).agg((100.0 * F.count("*") / F.greatest(F.coalesce(F.sum("c"), F.lit(0)), F.lit(1))).alias(f"distinct_{n}"))
 
 

@@ -55,7 +55,7 @@ def diversity(spark, sf):
     sums = []
     for n in (2, 3, 4):
         g = T.ngrams(F.col("w"), n)
-        rows = rows.withColumn(f"n{n}", F.size(g)).withColumn(f"r{n}", F.size(g) - F.size(F.array_distinct(g)))
+        rows = rows.withColumn(f"n{n}", T.ngram_count(F.col("w"), n)).withColumn(f"r{n}", F.col(f"n{n}") - F.size(F.array_distinct(g)))
         sums += [F.sum(f"n{n}").alias(f"n{n}"), F.sum(f"r{n}").alias(f"r{n}")]
     left = [1 - F.col(f"r{n}") / F.greatest(F.col(f"n{n}"), F.lit(1)) for n in (2, 3, 4)]
     return rows.agg(*sums).select(F.round(left[0] * left[1] * left[2], 6).alias("diversity"))

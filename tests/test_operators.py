@@ -204,3 +204,18 @@ def test_refreshed_schedule(spark, tmp_path):
     refresh(batch(3, 8), 1)
     assert sorted(r.seq for r in spark.read.parquet(f"{tmp_path}/samples-1").collect()) == [3, 4, 5, 6, 7]
     assert spark.read.parquet(f"{tmp_path}/schedule-1").count() == 8
+
+
+def test_distinct_ngrams_move_as_hashes(spark):
+    """Counts are those of the texts, repeats within and across documents included; no n-gram is joined or shuffled as text."""
+    from loomstone.operators import text_metrics
+
+    rows = [("a", ["x", "y", "z", "x", "y", "z"]), ("a", ["y", "z", "x"]), ("b", ["x", "y"]), ("b", ["xy", "z", "w"]), ("b", ["x", "yz", "w"]), ("b", []), ("b", None)]
+    df = spark.createDataFrame(rows, "lang string, w array<string>")
+    for n in (2, 3):
+        grams = {g: [tuple(w[i : i + n]) for lang, w in rows if lang == g and w for i in range(len(w) - n + 1)] for g in "ab"}
+        out = text_metrics.distinctness(df, F.col("w"), n, ["lang"])
+        assert {r[0]: round(r[1], 6) for r in out.collect()} == {g: round(100 * len(set(x)) / len(x), 6) for g, x in grams.items()}
+        assert "array_join" not in out._jdf.queryExecution().executedPlan().toString()
+    counts = df.select(text_metrics.ngram_count(F.col("w"), 2).alias("n"), F.size(text_metrics.ngrams(F.col("w"), 2)).alias("m")).where("w is not null").collect()
+    assert all(r.n == r.m for r in counts)
