@@ -7,7 +7,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -142,18 +142,39 @@ def read_blocks(spark: SparkSession, path: str, width: int, bytes_each: int = 2,
     listed = listed.withColumn("n", whole).where("n > 0")
     places = listed.select("path", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(rows_each).cast("long"))).alias("begin"))
 
-    def read_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
+        name, file = None, None
         for batch in batches:
-            for name, n, begin in zip(batch["path"], batch["n"], batch["begin"], strict=True):
-                system, inner = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", name))
-                with system.open_input_file(inner) as f:
-                    content = f.read_at(min(rows_each, n - begin) * row, begin * row)
-                ids = np.frombuffer(content, dtype).reshape(-1, width).astype(np.int64)
-                yield pd.DataFrame({"file": name, "seq_id": begin + np.arange(len(ids)), "ids": list(ids)})
-
-    return places.repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions", "200")), "path", "begin").mapInPandas(read_rows, "file string, seq_id long, ids array<long>")
+            names, seqs, parts, rows = [], [], [], 0
+            for at, n, begin in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                if at != name:  # runs of a file follow one another
+                    if file is not None:
+                        file.close()
+                    system, inner = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", at))
+                    name, file = at, system.open_input_file(inner)
+                ids = np.frombuffer(file.read_at(min(rows_each, n - begin) * row, begin * row), dtype).astype(np.int64)
+                names.append(np.repeat(np.array([at], object), len(ids) // width))
+                seqs.append(begin + np.arange(len(ids) // width))
+                parts.append(ids)
+                rows += len(seqs[-1])
+                if rows >= 4096:
+                    yield _block_rows(names, seqs, parts, width)
+                    names, seqs, parts, rows = [], [], [], 0
+            if rows:
+                yield _block_rows(names, seqs, parts, width)
+        if file is not None:
+            file.close()
+
+    dealt = places.repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions", "200")), "path", F.floor(F.col("begin") / (1 << 16))).sortWithinPartitions("path", "begin")
+    return dealt.mapInArrow(read_rows, "file string, seq_id long, ids array<long>")
+
+
+def _block_rows(names: list[np.ndarray], seqs: list[np.ndarray], parts: list[np.ndarray], width: int) -> pa.RecordBatch:
+    seq, ids = np.concatenate(seqs), np.concatenate(parts)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(ids) + 1, width), pa.int32()), pa.array(ids))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(names), pa.string()), pa.array(seq), lists], names=["file", "seq_id", "ids"])
 
 
 @register("shaped_blocks")

@@ -219,3 +219,15 @@ def test_distinct_ngrams_move_as_hashes(spark):
         assert "array_join" not in out._jdf.queryExecution().executedPlan().toString()
     counts = df.select(text_metrics.ngram_count(F.col("w"), 2).alias("n"), F.size(text_metrics.ngrams(F.col("w"), 2)).alias("m")).where("w is not null").collect()
     assert all(r.n == r.m for r in counts)
+
+
+def test_blocks_are_read_many_runs_at_a_time(spark, tmp_path):
+    """Runs of seven rows of several files come in batches, in Arrow; rows and their places are those of the files."""
+    want = set()
+    for k, n in enumerate((1, 7, 5000)):
+        x = np.arange(2 * n, dtype="<u4").reshape(n, 2) + 100_000 * k
+        (tmp_path / f"{k}.bin").write_bytes(x.tobytes())
+        want |= {(f"{k}.bin", i, *row) for i, row in enumerate(x.tolist())}
+    out = readers.read_blocks(spark, str(tmp_path), 2, 4, rows_each=7)
+    assert {(r.file.rsplit("/", 1)[1], r.seq_id, *r.ids) for r in out.collect()} == want and out.count() == len(want)
+    assert "MapInPandas" not in out._jdf.queryExecution().executedPlan().toString()
