@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from loomstone.sources.sinks import exists
 
+#: Rows of a shard, about, beyond which there are more shards.
+SHARD = 50_000
+
 Work = Callable[[DataFrame], DataFrame]
 
 
@@ -23,13 +26,15 @@ class Incomplete(RuntimeError):
     """Shards without a done-mark, or marks that the results do not bear out."""
 
 
-def lay_out(rows: DataFrame, path: str, key: str, shards: int) -> None:
-    """Deal rows to ``shards`` files by a hash of their key. A layout that is there already is kept, so that a build goes on
-    with the shards it began with; a null key is dealt like any other."""
+def lay_out(rows: DataFrame, path: str, key: str, shards: int, most: int = SHARD) -> None:
+    """Deal rows to ``shards`` files by a hash of their key, or to as many more as keep a file to about ``most`` rows, each
+    written by a task of its own. A layout that is there already is kept, so that a build goes on with the shards it
+    began with; a null key is dealt like any other."""
     if exists(rows, f"{path}/pending/_SUCCESS"):
         return
+    shards = max(shards, -(-rows.count() // most))
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64(F.col(key)), F.lit(shards)).cast("int"))
-    dealt.repartition(shards, "shard").write.mode("overwrite").partitionBy("shard").parquet(f"{path}/pending")
+    dealt.repartitionById(shards, F.col("shard")).write.mode("overwrite").partitionBy("shard").parquet(f"{path}/pending")
 
 
 def done_marks(spark: SparkSession, path: str) -> DataFrame:

@@ -126,3 +126,14 @@ def test_errors_and_a_lost_checkpoint(spark, tmp_path):
     shutil.rmtree(tmp_path / "b" / "results" / "shard=4")
     with pytest.raises(R.Incomplete):
         R.finish(spark, path)
+
+
+def test_a_layout_has_more_shards_where_there_are_more_rows(spark, tmp_path):
+    """Each shard is one file of few rows, whatever the number asked for; the build goes through all of them."""
+    path = str(tmp_path / "build")
+    R.lay_out(spark.range(2000), path, "id", 3, most=100)
+    laid = spark.read.parquet(f"{path}/pending").select("id", "shard", F.col("_metadata.file_path").alias("file"))
+    sizes = laid.groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("file").alias("files")).collect()
+    assert len(sizes) == 20 and {r.files for r in sizes} == {1} and sum(r.n for r in sizes) == 2000 and max(r.n for r in sizes) < 200
+    R.run(spark, path, lambda rows: rows.select("id", "shard"), each=7)
+    assert sorted(r.id for r in R.finish(spark, path).collect()) == list(range(2000))
