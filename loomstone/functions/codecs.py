@@ -12,10 +12,11 @@ def to_gray(n: Column) -> Column:
     return n.bitwiseXOR(F.shiftright(n, 1))
 
 
-def from_gray(g: Column) -> Column:
-    """Inverse for up to 32 bits, by doubling shifts."""
+def from_gray(g: Column, width: int = 32) -> Column:
+    """Inverse for up to ``width`` bits, by doubling shifts."""
     for k in (1, 2, 4, 8, 16):
-        g = g.bitwiseXOR(F.shiftright(g, k))
+        if k < width:
+            g = g.bitwiseXOR(F.shiftright(g, k))
     return g
 
 
@@ -70,37 +71,68 @@ def _odd(x: Column) -> Column:
     return F.bit_count(x).bitwiseAND(1)
 
 
-def secded_encode(token: Column, m: int) -> Column:
-    r = parity_size(m)
+def _with_parities(token: Column, m: int) -> Column:
     token = token.cast("long")
-    parities = [_odd(token.bitwiseAND(_parity_mask(m, k))) for k in range(r)]
-    body = reduce(lambda word, p: F.shiftleft(word, 1).bitwiseOR(p.cast("long")), parities, token)
+    parities = [_odd(token.bitwiseAND(_parity_mask(m, k))) for k in range(parity_size(m))]
+    return reduce(lambda word, p: F.shiftleft(word, 1).bitwiseOR(p.cast("long")), parities, token)
+
+
+def _closed(body: Column) -> Column:
     return F.shiftleft(body, 1).bitwiseOR(_odd(body).cast("long"))
 
 
+def secded_encode(token: Column, m: int) -> Column:
+    return _closed(_with_parities(token, m))
+
+
+def secded_words(ids: Column, m: int) -> Column:
+    """Words of an array of tokens. Parities are put on first, so that each is made once."""
+    return F.transform(F.transform(ids, lambda t: _with_parities(t, m)), _closed)
+
+
 def secded_decode(word: Column, m: int) -> Column:
     """``struct<data, corrected, uncorrectable>``.
 
     One flipped bit is put right (a flip of the overall parity alone counts as one correction). An even number of
     flips that shows is uncorrectable, and so is a syndrome that names no position, which three flips can make.
     """
+    data, syndrome, odd = secded_parts(word, m)
+    fixed, single, uncorrectable = secded_choice(data, syndrome, odd, m)
+    return F.struct(fixed.alias("data"), (single | (odd & (syndrome == 0))).cast("int").alias("corrected"), uncorrectable.alias("uncorrectable"))
+
+
+def secded_parts(word: Column, m: int) -> tuple[Column, Column, Column]:
+    """Data bits of a word, its syndrome, and whether its overall parity is broken."""
     r = parity_size(m)
     word = word.cast("long")
     data = F.shiftright(word, r + 1)
     checks = [(_odd(data.bitwiseAND(_parity_mask(m, k))) + F.getbit(word, F.lit(r - k)).cast("int")).bitwiseAND(1) for k in range(r)]
-    syndrome = reduce(lambda a, b: a + b, [c * (1 << k) for k, c in enumerate(checks)])
-    odd = _odd(word) == 1
-    flips = [0] * (m + r + 1)
+    return data, reduce(lambda a, b: a + b, [c * (1 << k) for k, c in enumerate(checks)]), _odd(word) == 1
+
+
+def secded_choice(data: Column, syndrome: Column, odd: Column, m: int) -> tuple[Column, Column, Column]:
+    """Data bits after repair, whether one of them or of the parities was flipped, and whether a word is uncorrectable."""
+    flips = [0] * (m + parity_size(m) + 1)
     for i, p in enumerate(_positions(m)):
         flips[p] = 1 << (m - 1 - i)
-    named = syndrome <= m + r
+    named = syndrome <= m + parity_size(m)
     flip = F.element_at(F.array(*[F.lit(f).cast("long") for f in flips]), F.when(named, syndrome).otherwise(F.lit(0)) + 1)
     single = odd & named & (syndrome > 0)
-    return F.struct(
-        F.when(single, data.bitwiseXOR(flip)).otherwise(data).alias("data"),
-        (single | (odd & (syndrome == 0))).cast("int").alias("corrected"),
-        ((~odd & (syndrome > 0)) | (odd & ~named)).alias("uncorrectable"),
-    )
+    return F.when(single, data.bitwiseXOR(flip)).otherwise(data), single, (~odd & (syndrome > 0)) | (odd & ~named)
+
+
+def secded_ids(words: Column, m: int, unknown: int, vocabulary: int) -> Column:
+    """Ids of an array of words, ``unknown`` for an uncorrectable one. Syndromes are made first, so that each is made once."""
+
+    def parts(word: Column) -> Column:
+        data, syndrome, odd = secded_parts(word, m)
+        return F.struct(data.alias("data"), syndrome.alias("syndrome"), odd.alias("odd"))
+
+    def ids(p: Column) -> Column:
+        data, _, uncorrectable = secded_choice(p["data"], p["syndrome"], p["odd"], m)
+        return F.when(uncorrectable, F.lit(unknown).cast("long")).otherwise(data % vocabulary)
+
+    return F.transform(F.transform(words, parts), ids)
 
 
 def stop_codes(ids: Column, pad: int, end: int, vocabulary: int, unknown: int | None = None) -> Column:

@@ -125,7 +125,7 @@ def _raw_bits(width: int) -> Decoder:
 
 @_register("bits", "gray", "token")
 def _gray_bits(width: int, vocabulary: int) -> Decoder:
-    return lambda bits: F.transform(C.bits_tokens(bits, width), lambda t: C.from_gray(t) % vocabulary)
+    return lambda bits: F.transform(C.bits_tokens(bits, width), lambda t: C.from_gray(t, width) % vocabulary)
 
 
 @_register("bits", "secded", "token")
@@ -134,7 +134,7 @@ def _corrected_bits(width: int, vocabulary: int, unknown: int = 1) -> Decoder:
 
     def run(bits: Column) -> Column:
         words = C.bits_tokens(bits, width + C.parity_size(width) + 1)
-        return F.transform(F.transform(words, lambda w: C.secded_decode(w, width)), lambda r: F.when(r["uncorrectable"], F.lit(unknown).cast("long")).otherwise(r["data"] % vocabulary))
+        return C.secded_ids(words, width, unknown, vocabulary)
 
     return run
 

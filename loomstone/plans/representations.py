@@ -40,7 +40,7 @@ def decoded_representations(spark, sf):
     """Bits in three forms, each read back by the decoder of its name; the last with one bit of every word flipped."""
     rows = _ids(spark, sf).withColumn("ids", F.col("ids").cast("array<long>"))
     gray = C.sequence_bits(F.transform("ids", lambda t: C.to_gray(t)), 5)
-    words = F.transform("ids", lambda t: C.secded_encode(t, 5).bitwiseXOR(F.lit(1 << 7).cast("long")))
+    words = F.transform(C.secded_words(F.col("ids"), 5), lambda w: w.bitwiseXOR(F.lit(1 << 7).cast("long")))
     text = lambda c: F.array_join(c.cast("array<string>"), ",")
     wide = rows.select("doc_id", C.sequence_bits(F.col("ids"), 5).alias("a"), gray.alias("b"), C.sequence_bits(words, 5 + C.parity_size(5) + 1).alias("c"))
     return wide.select(
