@@ -86,7 +86,8 @@ def encode_words(symbols: Column, merges: list[tuple[str, str]]) -> Column:
 
 
 def _apply(words: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
-    """``symbols, n, before``: words after the merges, with their symbols before where these changed (else null)."""
+    """``symbols, n, before``: words after the merges, with their symbols before where these changed (else null). Words of
+    one symbol already, which no merge changes and which have no pairs, are left out, so each round has fewer words."""
     shared = words.sparkSession.sparkContext.broadcast(_places(merges))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,7 +98,7 @@ def _apply(words: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
             kind = pa.list_(pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(new, kind), batch.column(1), pa.array([a if len(a) != len(b) else None for a, b in zip(old, new, strict=True)], kind)], names=["symbols", "n", "before"])
 
-    return words.select("symbols", "n").mapInArrow(run, "symbols array<string>, n long, before array<string>")
+    return words.where(F.size("symbols") > 1).select("symbols", "n").mapInArrow(run, "symbols array<string>, n long, before array<string>")
 
 
 def _fragments(words: DataFrame, chosen: set[tuple[str, str]], live: set[tuple[str, str]] | None) -> DataFrame:

@@ -94,3 +94,15 @@ def test_a_grown_vocabulary_keeps_its_old_entries(spark, sf):
 
     row = QUERIES["grown_vocabulary"](spark, sf).head()
     assert (row.n_changed, row.n_missing) == (0, 0) and 1000 < row.n_old <= 6000 and row.n_old <= row.n_new <= 9000
+
+
+def test_finished_words_leave_the_rounds(spark):
+    """A word of one symbol has no pairs: the next round does not carry it, and the merges stay the same."""
+    from loomstone.operators import merges as M
+
+    words = spark.createDataFrame([(["a", "b"], 5), (["c"], 9), (["a", "b", "d"], 3)], "symbols array<string>, n long")
+    first = M._apply(words, [("a", "b")])
+    assert sorted(map(tuple, (r.symbols for r in first.collect()))) == [("ab",), ("ab", "d")]
+    assert [r.symbols for r in M._apply(first, [("x", "y")]).collect()] == [["ab", "d"]]
+    got = [(r.left, r.right, r.n) for r in M.learn_merges(words, None, 5, pairs=1).orderBy("rank").collect()]
+    assert got == [("a", "b", 8), ("ab", "d", 3)]
