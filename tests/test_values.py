@@ -208,3 +208,19 @@ def test_frontier_score_takes_clusters_from_the_smaller_group(spark):
     assert abs(distributions.frontier_score(df, "g", "v", 0, 1).head().score - 1) < 1e-9  # three clusters of a third each
     with pytest.raises(ValueError, match="no vectors"):
         distributions.frontier_score(df, "g", "v", 0, 7)
+
+
+def test_words_of_like_neighbours_have_like_vectors(spark, monkeypatch):
+    """Trained in several parts, none of which is a whole vocabulary; Spark's own model is not asked."""
+    from loomstone.operators import word_vectors as V
+
+    monkeypatch.setattr(V, "PART_WORDS", 4000)
+    monkeypatch.setattr(V, "STEP", 32)
+    rng = np.random.default_rng(2)
+    texts = [[f"{'xy'[i % 2]}{k}" for k in rng.integers(0, 8, 30)] for i in range(2000)]
+    rows = V.skip_grams(spark.createDataFrame([(t,) for t in texts], "w array<string>"), "w", size=16, rate=0.05).collect()
+    unit = {r.word: np.array(r.vector) / np.linalg.norm(r.vector) for r in rows}
+    assert len(unit) == len(rows) == 16
+    alike = [unit[a] @ unit[b] for a in unit for b in unit if a < b and a[0] == b[0]]
+    apart = [unit[a] @ unit[b] for a in unit for b in unit if a < b and a[0] != b[0]]
+    assert np.mean(alike) > np.mean(apart) + 0.5
